@@ -19,7 +19,7 @@ def clean_price(text: Column, rule: str = "first_amount") -> Column:
     ``MRP 199`` is 199.0. ``strip`` is the literal code rule: drop commas, keep
     only digits and dots, parse the rest (``Rs.65`` then reads as 0.65).
     """
-    no_commas = F.regexp_replace(text, ",", "")
+    no_commas = F.replace(text, F.lit(","), F.lit(""))
     if rule == "first_amount":
         amount = F.regexp_extract(no_commas, AMOUNT_PATTERN, 1)
     elif rule == "strip":

@@ -107,3 +107,73 @@ def extract_size_extended(name: Column) -> Column:
              .when(pk != "", counted(pk.cast("double")))
              .when(cnt != "", counted(cnt.cast("double")))
              .otherwise(_size_struct(F.lit("1"), F.lit("pcs"), F.lit(""))))
+
+
+# ---------------------------------------------------------------------------
+# Table form: each pattern is evaluated once per row into a helper column, and
+# the size struct is built from those columns (a Column-only form repeats the
+# regex inside every branch that uses it).
+# ---------------------------------------------------------------------------
+
+def with_size(df, name_col: str, mode: str = "basic", out: str = "_size"):
+    """Add struct column ``out`` (quantity, unit, size_label) computed from ``name_col``."""
+    from pyspark.sql import DataFrame  # noqa: F401
+    name = F.col(name_col)
+    if mode == "basic":
+        staged = df.withColumns({
+            "_sz_m": F.regexp_extract(name, SIZE_PATTERN, 0),
+            "_sz_c": F.regexp_extract(name, COUNT_PATTERN, 1),
+        }).withColumns({
+            "_sz_q": F.regexp_extract(F.col("_sz_m"), r"^[0-9]+(?:\.[0-9]+)?", 0),
+            "_sz_u": canonical_unit(F.regexp_extract(F.col("_sz_m"), r"(?i)[a-z]+$", 0)),
+        })
+        q, u, c = F.col("_sz_q"), F.col("_sz_u"), F.col("_sz_c")
+        built = (F.when(q != "", _size_struct(q, u, F.concat(q, u)))
+                  .when(c != "", _size_struct(c, F.lit("pcs"), F.concat(c, F.lit(" pcs"))))
+                  .otherwise(_size_struct(F.lit("1"), F.lit("pcs"), F.lit(""))))
+        return staged.withColumn(out, built).drop("_sz_m", "_sz_c", "_sz_q", "_sz_u")
+    if mode != "extended":
+        raise ValueError(mode)
+    staged = df.withColumns({
+        "_x_m": F.regexp_extract(name, MULTI_PATTERN, 0),
+        "_x_h": F.regexp_extract(name, HALF_PATTERN, 0),
+        "_x_hd": F.regexp_extract(name, HALF_DOZEN_PATTERN, 0),
+        "_x_dz": F.regexp_extract(name, DOZEN_PATTERN, 1),
+        "_x_s": F.regexp_extract(name, SIZE_PATTERN, 0),
+        "_x_pk": F.regexp_extract(name, PACK_OF_PATTERN, 1),
+        "_x_c": F.regexp_extract(name, COUNT_PATTERN, 1),
+    })
+    ext = _extended_from(F.col("_x_m"), F.col("_x_h"), F.col("_x_hd"), F.col("_x_dz"),
+                         F.col("_x_s"), F.col("_x_pk"), F.col("_x_c"))
+    return staged.withColumn(out, ext).drop("_x_m", "_x_h", "_x_hd", "_x_dz", "_x_s", "_x_pk", "_x_c")
+
+
+def _extended_from(m: Column, h: Column, hd: Column, dz: Column, s: Column, pk: Column,
+                   c: Column) -> Column:
+    """Extended size struct from the whole matches / groups of each rule."""
+    num = r"[0-9]+(?:\.[0-9]+)?"
+    unit_tail = r"(?i)[a-z]+$"
+    m_n = F.regexp_extract(m, r"[0-9]+", 0)
+    m_q = F.regexp_extract(m, r"(?i)[x×]\s*(" + num + ")", 1)
+    m_u = canonical_unit(F.regexp_extract(m, unit_tail, 0))
+    h_u = canonical_unit(F.regexp_extract(h, unit_tail, 0))
+    s_q = F.regexp_extract(s, "^" + num, 0)
+    s_u = canonical_unit(F.regexp_extract(s, unit_tail, 0))
+
+    def measured(q: Column, unit: Column) -> Column:
+        b = _to_base(q, unit)
+        txt = _number_text(b["q"])
+        return _size_struct(txt, b["u"], F.concat(txt, b["u"]))
+
+    def counted(n: Column) -> Column:
+        txt = _number_text(n)
+        return _size_struct(txt, F.lit("pcs"), F.concat(txt, F.lit(" pcs")))
+
+    return (F.when(m != "", measured(m_n.cast("double") * m_q.cast("double"), m_u))
+             .when(h != "", measured(F.lit(0.5), h_u))
+             .when(hd != "", counted(F.lit(6.0)))
+             .when(dz != "", counted(dz.cast("double") * F.lit(12.0)))
+             .when(s != "", measured(s_q.cast("double"), s_u))
+             .when(pk != "", counted(pk.cast("double")))
+             .when(c != "", counted(c.cast("double")))
+             .otherwise(_size_struct(F.lit("1"), F.lit("pcs"), F.lit(""))))

@@ -9,9 +9,15 @@ from pyspark.sql import functions as F
 WS = r"[ \t\n\x0B\f\r]"
 
 
+WS_CHARS = " \t\n\x0b\f\r"
+
+
 def strip_text(c: Column) -> Column:
-    """Strip leading/trailing whitespace incl. tabs and newlines (Spark trim strips spaces only)."""
-    return F.regexp_replace(c, "^" + WS + "+|" + WS + "+$", "")
+    """Strip leading/trailing whitespace incl. tabs and newlines (plain trim strips spaces only).
+
+    ``btrim`` with an explicit character set: no regex on the hot path.
+    """
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def clip(c: Column, n: int) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import functions as X
+from ..functions.sizes import with_size
 from ..sources.lookups import platform_attr
 
 LISTING_COLUMNS = ["platform", "product_name", "price", "brand", "description", "source",
@@ -21,30 +22,34 @@ def standardise(raw: DataFrame, size_mode: str = "basic", price_rule: str = "fir
     Offers without a valid (> 0) price or with an empty name are dropped, as the
     page parsers never build them. ``size_mode`` picks the code's size rules
     (``basic``) or the documented ones (``extended``).
-    """
-    name = X.clip(F.col("name"), 120)
-    price = X.clean_price(F.col("price_text"), price_rule)
-    mrp_in = X.clean_price(F.col("mrp_text"), price_rule)
-    size = X.extract_size(name) if size_mode == "basic" else X.extract_size_extended(name)
 
+    Staged projections: each regex runs once per row; later stages only
+    reference the earlier columns (Catalyst keeps non-trivial aliases that are
+    used more than once instead of inlining them).
+    """
+    kept = [F.col(c) for c in keep if c in raw.columns]
     stage = raw.select(
-        *[F.col(c) for c in keep if c in raw.columns],
+        *kept,
         F.col("platform"),
-        name.alias("product_name"),
-        price.alias("_price"),
-        mrp_in.alias("_mrp_in"),
+        X.clip(F.col("name"), 120).alias("product_name"),
+        X.clean_price(F.col("price_text"), price_rule).alias("_price"),
+        X.clean_price(F.col("mrp_text"), price_rule).alias("_mrp_in"),
         X.clip(F.col("brand"), 60).alias("brand"),
         X.clip(F.col("description"), 200).alias("description"),
         F.col("captured_at").alias("scraped_at"),
-        size.alias("_size"),
-        F.coalesce(F.col("in_stock"), F.lit(True)).alias("in_stock") if "in_stock" in raw.columns
-        else F.lit(True).alias("in_stock"),
+        (F.coalesce(F.col("in_stock"), F.lit(True)) if "in_stock" in raw.columns
+         else F.lit(True)).alias("in_stock"),
         F.coalesce(F.col("pincode"), F.lit("")).alias("pincode"),
-        X.absolute_url(F.col("url"), F.coalesce(platform_attr(F.col("platform"), "host"), F.lit("")))
-         .alias("product_url") if "url" in raw.columns else F.lit("").alias("product_url"),
+        (X.absolute_url(F.col("url"), F.coalesce(platform_attr(F.col("platform"), "host"), F.lit("")))
+         if "url" in raw.columns else F.lit("")).alias("product_url"),
     ).where(F.col("_price").isNotNull() & (F.col("product_name") != ""))
 
-    eff_mrp = X.effective_mrp(F.col("_price"), F.col("_mrp_in"))
+    stage = with_size(stage, "product_name", size_mode, "_size").withColumns({
+        "_eff_mrp": X.effective_mrp(F.col("_price"), F.col("_mrp_in")),
+        "quantity": F.col("_size.quantity"),
+        "unit": F.col("_size.unit"),
+        "size_label": F.col("_size.size_label"),
+    })
     return stage.select(
         *[F.col(c) for c in keep if c in raw.columns],
         "platform", "product_name",
@@ -52,13 +57,11 @@ def standardise(raw: DataFrame, size_mode: str = "basic", price_rule: str = "fir
         "brand", "description",
         F.lit("LIVE").alias("source"),
         "scraped_at",
-        X.round_half_up(eff_mrp, 2).alias("mrp"),
-        X.discount_pct(F.col("_price"), eff_mrp).alias("discount_pct"),
-        F.col("_size.quantity").alias("quantity"),
-        F.col("_size.unit").alias("unit"),
-        F.col("_size.size_label").alias("size_label"),
-        X.unit_price(F.col("_price"), F.col("_size.quantity"), F.col("_size.unit")).alias("price_per_unit"),
-        X.unit_label(F.col("_size.unit")).alias("unit_norm"),
+        X.round_half_up(F.col("_eff_mrp"), 2).alias("mrp"),
+        X.discount_pct(F.col("_price"), F.col("_eff_mrp")).alias("discount_pct"),
+        "quantity", "unit", "size_label",
+        X.unit_price(F.col("_price"), F.col("quantity"), F.col("unit")).alias("price_per_unit"),
+        X.unit_label(F.col("unit")).alias("unit_norm"),
         platform_attr(F.col("platform"), "page_mins").cast("int").alias("delivery_mins"),
         "in_stock", "pincode", "product_url",
     )
