@@ -74,3 +74,16 @@ def city_delivery_rows():
 
 def city_rows():
     return [(prefix, city) for prefix, city, _ in CITY_DELIVERY]
+
+# Page-parser settings per platform (fixed values from the reference parsers):
+# (platform, first-N cap per page, ancestor levels walked, minimum name length,
+#  minimum price, minimum price inclusive, names starting with the rupee sign rejected)
+PARSER_SETTINGS = [
+    ("Amazon Fresh", 35, 0, 4, 1.0, False, False),
+    ("Blinkit", 40, 5, 3, 0.0, False, False),
+    ("BigBasket", 50, 8, 5, 1.0, True, False),
+    ("Zepto", 60, 12, 4, 1.0, True, True),
+    ("Flipkart", 60, 10, 5, 1.0, True, False),
+    ("Swiggy Instamart", 60, 10, 4, 1.0, True, False),
+    ("JioMart", 40, 8, 5, 1.0, True, False),
+]
