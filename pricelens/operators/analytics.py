@@ -283,3 +283,16 @@ def product_cards(ranked: DataFrame, keys: tuple[str, ...] = ("search_id", "prod
     g = per_platform.groupBy(*keys).agg(F.sort_array(F.collect_list(offer)).alias("offers"))
     return g.select(*keys, "offers", F.col("offers")[0]["platform"].alias("best_platform"),
                     F.col("offers")[0]["price"].alias("best_price"), F.size("offers").alias("n_platforms"))
+
+
+def with_progress(df: DataFrame, name: str = "progress"):
+    """Per-platform progress counts as query metrics (F3): no extra job, read after an action.
+
+    Returns (df, observation); ``observation.get`` holds the counts once ``df`` ran.
+    """
+    from pyspark.sql import Observation
+    obs = Observation(name)
+    metrics = [F.count(F.lit(1)).alias("rows")] + [
+        F.count_if(F.col("platform") == p).alias(p.replace(" ", "_")) for p in
+        ("Amazon Fresh", "Blinkit", "BigBasket", "Zepto")]
+    return df.observe(obs, *metrics), obs

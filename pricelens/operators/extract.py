@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import functions as X
-from ..reference_data import PARSER_SETTINGS
+from ..reference_data import JSON_SETTINGS, PARSER_SETTINGS
 from ..sources.lookups import platform_attr
 from .analytics import best_by
 
@@ -60,10 +60,15 @@ def extract_result_cards(pages: DataFrame) -> DataFrame:
                                  lambda t: X.clean_price(t)), lambda p: p > 1)
     href = F.regexp_extract(F.col("card"), r'<h2[^>]*>\s*<a[^>]*href="([^"]*)"', 1)
     bullets = F.regexp_extract_all(F.col("card"), F.lit(r'class="a-list-item">([^<]*)<'), 1)
-    staged = c.select("page_id", "search_id", "platform", "pincode", "position",
+    staged = c.select("page_id", "search_id", "platform", "pincode", "position", "card",
                       X.longest(spans).alias("name"), found.alias("found"), href.alias("href"),
                       bullets.alias("bullets"))
-    first = F.try_element_at(F.col("found"), F.lit(1))
+    # Without offscreen prices, the whole + fraction spans make the price.
+    whole = F.regexp_extract(F.col("card"), r'class="a-price-whole">([^<]*)<', 1)
+    frac = F.regexp_extract(F.col("card"), r'class="a-price-fraction">([^<]*)<', 1)
+    staged = staged.withColumn("_parts", F.when(whole != "", X.join_price_parts(
+        F.replace(whole, F.lit(","), F.lit("")), frac)))
+    first = F.coalesce(F.try_element_at(F.col("found"), F.lit(1)), X.clean_price(F.col("_parts")))
     mrp = F.coalesce(X.card_mrp(first, F.col("found")), F.lit(0.0))
     out = staged.select(
         "page_id", "search_id", "platform", "pincode", "position", "name",
@@ -157,7 +162,7 @@ def extract_next_data(pages: DataFrame, depth: int = 12) -> DataFrame:
     # A10: per page the array with most items, first in walk order on ties.
     best = flat.groupBy("page_id").agg(F.max(F.struct(F.col("n"), (-F.col("array_no")).alias("neg"))).alias("b"))
     chosen = flat.join(best.select("page_id", (-F.col("b.neg")).alias("array_no")), ["page_id", "array_no"])
-    cap = F.try_element_at(F.create_map(*[x for s in PARSER_SETTINGS for x in (F.lit(s[0]), F.lit(s[1]))]),
+    cap = F.try_element_at(F.create_map(*[x for s in JSON_SETTINGS for x in (F.lit(s[0]), F.lit(s[1]))]),
                            F.col("platform"))
     chosen = chosen.where(F.col("pos") < F.coalesce(cap, F.lit(40)))
     it = F.col("item")

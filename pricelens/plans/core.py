@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from .. import functions as X
 from ..operators.ranking import best_deals
 from ..sources import raw_offers, searches
-from ..reference_data import PLATFORMS
-from ..sources.lookups import city_of, delivery_minutes, platform_attr
+from ..reference_data import DEFAULT_LOCATION, LOCATIONS, PLATFORMS
+from ..sources.lookups import city_of, delivery_minutes, location_of, platform_attr
 from . import domain
 from .registry import query
 from .sql_common import (COUNT_RE, SIZE_RE, canon_unit_sql, clean_price_sql, rhu, strip_sql,
@@ -256,3 +256,15 @@ def search_requests(spark, sf):
 
 
 __all__ = ["rhu"]
+
+
+@query("search_locations", with_base(f"""
+, loc(prefix, lat, lng, place) AS (SELECT * FROM (VALUES {', '.join(f"('{p}', {a}, {b}, '{d}')" for p, a, b, d in LOCATIONS)}))
+SELECT s.search_id, s.pincode, CAST(coalesce(l.lat, {DEFAULT_LOCATION[0]}) AS DOUBLE) AS lat,
+       CAST(coalesce(l.lng, {DEFAULT_LOCATION[1]}) AS DOUBLE) AS lng,
+       coalesce(l.place, '{DEFAULT_LOCATION[2]}') AS place
+FROM searches s LEFT JOIN loc l ON l.prefix = substring(s.pincode, 1, 3)"""))
+def search_locations(spark, sf):
+    loc = location_of(F.col("pincode"))
+    return searches(spark, sf).select("search_id", "pincode", loc["lat"].alias("lat"), loc["lng"].alias("lng"),
+                                      loc["place"].alias("place"))

@@ -55,6 +55,44 @@ PLATFORMS = [
      "https://www.jiomart.com/search/{}", "%20", None, 45),
 ]
 
+# Page-parser settings per platform (fixed values from the reference parsers):
+# (platform, first-N cap per page, ancestor levels walked, minimum name length,
+#  minimum price, minimum price inclusive, names starting with the rupee sign rejected)
+PARSER_SETTINGS = [
+    ("Amazon Fresh", 35, 0, 4, 1.0, False, False),
+    ("Blinkit", 40, 5, 3, 0.0, False, False),
+    ("BigBasket", 50, 8, 5, 1.0, True, False),
+    ("Zepto", 60, 12, 4, 1.0, True, True),
+    ("Flipkart", 60, 10, 5, 1.0, True, False),
+    ("Swiggy Instamart", 60, 10, 4, 1.0, True, False),
+    ("JioMart", 40, 8, 5, 1.0, True, False),
+]
+
+# Location by pincode prefix (lat, lng, place description) used to set the shop
+# location before a search; unknown prefixes take the default row.
+LOCATIONS = [
+    ("560", 12.9716, 77.5946, "Bangalore, Karnataka, India"),
+    ("562", 12.9716, 77.5946, "Bangalore, Karnataka, India"),
+    ("110", 28.6139, 77.2090, "New Delhi, Delhi, India"),
+    ("122", 28.4595, 77.0266, "Gurugram, Haryana, India"),
+    ("201", 28.5355, 77.3910, "Noida, Uttar Pradesh, India"),
+    ("400", 19.0760, 72.8777, "Mumbai, Maharashtra, India"),
+    ("401", 19.0760, 72.8777, "Mumbai, Maharashtra, India"),
+    ("411", 18.5204, 73.8567, "Pune, Maharashtra, India"),
+    ("500", 17.3850, 78.4867, "Hyderabad, Telangana, India"),
+    ("600", 13.0827, 80.2707, "Chennai, Tamil Nadu, India"),
+    ("700", 22.5726, 88.3639, "Kolkata, West Bengal, India"),
+    ("380", 23.0225, 72.5714, "Ahmedabad, Gujarat, India"),
+    ("302", 26.9124, 75.7873, "Jaipur, Rajasthan, India"),
+    ("226", 26.8467, 80.9462, "Lucknow, Uttar Pradesh, India"),
+    ("160", 30.7333, 76.7794, "Chandigarh, India"),
+    ("452", 22.7196, 75.8577, "Indore, Madhya Pradesh, India"),
+]
+DEFAULT_LOCATION = (12.9716, 77.5946, "Bangalore, Karnataka, India")
+
+# Embedded-JSON product search per platform: (platform, first-N items, walk depth).
+JSON_SETTINGS = [("BigBasket", 40, 12), ("Zepto", 50, 14), ("JioMart", 40, 12)]
+
 # ---------------------------------------------------------------------------
 # Fixture mapping constants (ours): how driver tables become domain tables.
 # ---------------------------------------------------------------------------
@@ -74,16 +112,3 @@ def city_delivery_rows():
 
 def city_rows():
     return [(prefix, city) for prefix, city, _ in CITY_DELIVERY]
-
-# Page-parser settings per platform (fixed values from the reference parsers):
-# (platform, first-N cap per page, ancestor levels walked, minimum name length,
-#  minimum price, minimum price inclusive, names starting with the rupee sign rejected)
-PARSER_SETTINGS = [
-    ("Amazon Fresh", 35, 0, 4, 1.0, False, False),
-    ("Blinkit", 40, 5, 3, 0.0, False, False),
-    ("BigBasket", 50, 8, 5, 1.0, True, False),
-    ("Zepto", 60, 12, 4, 1.0, True, True),
-    ("Flipkart", 60, 10, 5, 1.0, True, False),
-    ("Swiggy Instamart", 60, 10, 4, 1.0, True, False),
-    ("JioMart", 40, 8, 5, 1.0, True, False),
-]

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..reference_data import (CITY_DELIVERY, DEFAULT_MINS, PLATFORMS, TIER2, city_delivery_rows,
-                              city_rows)
+from ..reference_data import (CITY_DELIVERY, DEFAULT_LOCATION, DEFAULT_MINS, LOCATIONS, PLATFORMS, TIER2,
+                              city_delivery_rows, city_rows)
 
 
 def _map(pairs) -> Column:
@@ -34,6 +34,16 @@ def delivery_minutes(pincode: Column, platform: Column) -> Column:
     return F.coalesce(city, tier2, F.lit(DEFAULT_MINS)).cast("int")
 
 
+def location_of(pincode: Column) -> Column:
+    """struct(lat, lng, place) by pincode prefix, else the default location."""
+    m = F.create_map(*chain.from_iterable(
+        (F.lit(p), F.struct(F.lit(lat).alias("lat"), F.lit(lng).alias("lng"), F.lit(d).alias("place")))
+        for p, lat, lng, d in LOCATIONS))
+    default = F.struct(F.lit(DEFAULT_LOCATION[0]).alias("lat"), F.lit(DEFAULT_LOCATION[1]).alias("lng"),
+                       F.lit(DEFAULT_LOCATION[2]).alias("place"))
+    return F.coalesce(F.try_element_at(m, F.substring(F.coalesce(pincode, F.lit("")), 1, 3)), default)
+
+
 def platform_attr(platform: Column, attr: str) -> Column:
     idx = {"active": 1, "priority": 2, "host": 3, "search_template": 4, "space": 5,
            "link_template": 6, "page_mins": 7}[attr]

@@ -12,7 +12,9 @@ FAST = ["standardise_listings", "extract_size", "extract_size_extended", "rank_b
         "best_deal", "delivery_minutes", "product_link", "search_requests", "cheapest_in_stock",
         "metric_strip", "compare_pivot", "daily_snapshot", "trend_7_30", "anomaly_2sigma",
         "anomaly_top5pct", "days_since_drop", "dedup_5min_gap", "top_n_per_page", "largest_array",
-        "product_cards", "search_analytics", "phase_timings", "price_alerts", "display_table"]
+        "product_cards", "search_analytics", "phase_timings", "price_alerts", "display_table",
+        "extract_cards", "extract_next_data", "extract_price_walk", "extract_quarantine", "clean_product_name",
+        "card_text_fields", "first_key_json", "sanity_price", "stream_window_tumbling", "stream_session"]
 
 
 @pytest.fixture(scope="module")
