@@ -259,9 +259,10 @@ def zscore_top(ticks: DataFrame, share: float = 0.05) -> DataFrame:
 
 
 def platform_rank(listings: DataFrame, keys: tuple[str, ...] = ("search_id", "product_name")) -> DataFrame:
-    """Dense price rank of the platforms offering one product."""
-    w = Window.partitionBy(*keys).orderBy(F.col("price").asc_nulls_last())
-    return listings.select(*keys, "platform", "price", F.dense_rank().over(w).alias("platform_rank"))
+    """Dense price rank of the platforms offering one product (W5), skew-safe like W1."""
+    from .ranking import rank_within
+    r = rank_within(listings.select(*keys, "platform", "price"), list(keys), "price", "price", dense=True)
+    return r.select(*keys, "platform", "price", F.col("rank").alias("platform_rank"))
 
 
 def top_deals(scored: DataFrame, k: int, score: str = "deal_score") -> DataFrame:

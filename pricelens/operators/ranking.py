@@ -36,12 +36,12 @@ def with_value_score(df: DataFrame) -> DataFrame:
 
 
 def rank_within(df: DataFrame, keys: list[str], order_col: str, max_col: str = "price",
-                method: str = "distinct_values") -> DataFrame:
-    """Add rank (int, SQL RANK semantics, nulls last) and max_<max_col> per group."""
+                method: str = "distinct_values", dense: bool = False) -> DataFrame:
+    """Add rank (int, SQL RANK or DENSE_RANK semantics, nulls last) and max_<max_col> per group."""
     max_name = f"max_{max_col}"
     if method == "window":
         w = Window.partitionBy(*keys).orderBy(F.col(order_col).asc_nulls_last())
-        return (df.withColumn("rank", F.rank().over(w))
+        return (df.withColumn("rank", (F.dense_rank() if dense else F.rank()).over(w))
                   .withColumn(max_name, F.max(max_col).over(Window.partitionBy(*keys))))
     if method != "distinct_values":
         raise ValueError(method)
@@ -50,7 +50,9 @@ def rank_within(df: DataFrame, keys: list[str], order_col: str, max_col: str = "
     vc = df.groupBy(*keys, order_col).agg(F.count(F.lit(1)).alias("_n"), F.max(max_col).alias("_mx"))
     # 2. running count of strictly smaller values; group max. One Exchange + Sort serves both.
     w = Window.partitionBy(*keys).orderBy(F.col(order_col).asc_nulls_last())
-    smaller = F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    # RANK counts smaller rows; DENSE_RANK counts smaller distinct values.
+    smaller = (F.count(F.lit(1)) if dense else F.sum("_n")).over(before)
     ranked = vc.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
         F.col(order_col).alias("_k_v"),

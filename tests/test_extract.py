@@ -14,17 +14,16 @@ def _pages(spark, rows):
 def test_result_cards_longest_title_sanity_and_dedup(spark):
     card = ('<div data-component-type="s-search-result"><h2><a href="/dp/1"><span>Tata</span>'
             '<span>Tata Salt Iodised 1 kg</span></a></h2>'
-            '<span class="a-price"><span class="a-offscreen">₹7.72</span></span>'
-            '<span class="a-price"><span class="a-offscreen">₹25.00</span></span>'
-            '<span class="a-price"><span class="a-offscreen">₹28.00</span></span>'
+            '<span class="a-price"><span class="a-offscreen">₹1.20</span></span>'
+            '<span class="a-price"><span class="a-offscreen">₹250.00</span></span>'
+            '<span class="a-price"><span class="a-offscreen">₹280.00</span></span>'
             '<span class="a-list-item">Iodised salt</span></div>')
     html = "<html><body>" + card + card + "</body></html>"
     out = E.extract_result_cards(_pages(spark, [(1, 1, "Amazon Fresh", "400001", html)])).collect()
     assert len(out) == 1  # same name twice on one page: first wins
     r = out[0]
-    assert r.name == "Tata Salt Iodised 1 kg" and r.mrp == 28.0
-    assert r.price == 7.72 or r.price == 25.0
-    assert r.price == 25.0  # 7.72 < 5 % of 28 -> repaired to the first price >= 1.40
+    assert r.name == "Tata Salt Iodised 1 kg" and r.mrp == 280.0
+    assert r.price == 250.0  # 1.20 < 5 % of 280 (a per-unit price) -> first price >= 14
     assert r.product_url == "https://www.amazon.in/dp/1" and r.brand == "Tata"
     assert r.description == "Iodised salt"
 
