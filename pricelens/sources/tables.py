@@ -21,6 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that has fewer splits than the cluster has cores.
+
+    The offer rules are CPU-heavy per row (regex). A large table has far more
+    splits than cores and is left alone (no extra shuffle); a table stored as
+    one big row group (as in small test sets) would otherwise be processed by
+    a single task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _pick(values: list[str], index: Column) -> Column:
     """values[index] for a 0-based integer column (a literal array, no join)."""
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + F.lit(1)).cast("int"))
@@ -73,9 +85,9 @@ def raw_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     Columns: search_id, line_no, part_id, platform, name, price_text, mrp_text,
     brand, description, url, in_stock, pincode, captured_at.
     """
-    li = table(spark, sf_dir, "lineitem").select(
+    li = spread(table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_extendedprice", "l_discount", "l_linestatus", "l_shipdate")
+        "l_extendedprice", "l_discount", "l_linestatus", "l_shipdate"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     s = searches(spark, sf_dir).select("search_id", "pincode")
 
