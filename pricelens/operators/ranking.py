@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import functions as X
+from ..session import workspace
 
 SCOPES = {
     "group": (["search_id", "product_name", "size_label"], "price"),
@@ -36,8 +37,15 @@ def with_value_score(df: DataFrame) -> DataFrame:
 
 
 def rank_within(df: DataFrame, keys: list[str], order_col: str, max_col: str = "price",
-                method: str = "distinct_values", dense: bool = False) -> DataFrame:
-    """Add rank (int, SQL RANK or DENSE_RANK semantics, nulls last) and max_<max_col> per group."""
+                method: str = "distinct_values", dense: bool = False,
+                materialize: bool = True) -> DataFrame:
+    """Add rank (int, SQL RANK or DENSE_RANK semantics, nulls last) and max_<max_col> per group.
+
+    ``materialize`` writes the input once as a reliable checkpoint (in the
+    shared ``spark.checkpoint.dir``) so that the distinct-value branch and the
+    join branch read the same rows instead of recomputing the upstream plan
+    (for offers: the regex-heavy listing build) twice.
+    """
     max_name = f"max_{max_col}"
     if method == "window":
         w = Window.partitionBy(*keys).orderBy(F.col(order_col).asc_nulls_last())
@@ -46,6 +54,9 @@ def rank_within(df: DataFrame, keys: list[str], order_col: str, max_col: str = "
     if method != "distinct_values":
         raise ValueError(method)
 
+    if materialize:
+        workspace(df.sparkSession)  # the session's shared checkpoint folder
+        df = df.checkpoint(eager=True)
     # 1. distinct (group, value) with counts; partial aggregation before the shuffle.
     vc = df.groupBy(*keys, order_col).agg(F.count(F.lit(1)).alias("_n"), F.max(max_col).alias("_mx"))
     # 2. running count of strictly smaller values; group max. One Exchange + Sort serves both.
@@ -68,11 +79,11 @@ def rank_within(df: DataFrame, keys: list[str], order_col: str, max_col: str = "
 
 
 def score_and_rank(listings: DataFrame, scope: str = "search", method: str = "distinct_values",
-                   processed_at: Column | None = None) -> DataFrame:
+                   processed_at: Column | None = None, materialize: bool = True) -> DataFrame:
     """value_score, rank, max_price, savings, is_best_deal (+ processed_at when given)."""
     keys, order_col = SCOPES[scope]
     df = listings if "value_score" in listings.columns else with_value_score(listings)
-    df = rank_within(df, keys, order_col, "price", method)
+    df = rank_within(df, keys, order_col, "price", method, materialize=materialize)
     df = (df.withColumn("savings", X.round_half_up(F.col("max_price") - F.col("price"), 2))
             .withColumn("is_best_deal", F.col("rank") == 1))
     if processed_at is not None:
