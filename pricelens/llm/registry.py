@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join
+from . import jaccard_join, packing, token_files
 from .base import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,5 +17,15 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read_documents(token_files.write_segments(read_table(spark, sf_dir, "documents")))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op8_token_binary"] = op8_token_binary
+QUERIES["op10_best_fit_packing"] = op10_best_fit_packing
 QUERIES["op9_ngram_jaccard_join"] = op9_ngram_jaccard_join
 ORACLES["op9_ngram_jaccard_join"] = jaccard_join.ORACLE
