@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, packing, token_files
+from . import decontaminate, jaccard_join, packing, token_files
 from .base import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,6 +17,14 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("n_near", "items")
+
+
+QUERIES["op6_decontamination"] = op6_decontamination
+ORACLES["op6_decontamination"] = decontaminate.ORACLE
+
+
 def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(token_files.write_segments(read_table(spark, sf_dir, "documents")))
 
