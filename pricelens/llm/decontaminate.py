@@ -25,7 +25,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,13 +83,18 @@ def _post(bitmap: np.ndarray):
     return run
 
 
+def _only(texts: pa.Array, keep: np.ndarray) -> pa.Array:
+    """The texts where ``keep`` is true, else null."""
+    return texts.take(pa.array(np.arange(len(texts)), mask=~keep))
+
+
 def _measure(bitmap: np.ndarray):
     """Word counts of all documents; the text of those that may have candidates."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             _, at = word_hashes(batch.column("text"), ALNUM)
             keep = in_bitmap(bitmap, batch.column("doc").to_numpy().view(np.uint64))
-            text = pa.compute.if_else(pa.array(keep), batch.column("text"), pa.scalar(None, pa.string()))
+            text = _only(batch.column("text"), keep)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("doc"), longs(np.diff(at)), text], ["doc_id", "doc", "n_words", "text"])
     return run
 
@@ -100,7 +104,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         hits, found = [], []
         lists = batch.column("candidates").to_pylist()
-        words, at = word_hashes(pa.compute.if_else(batch.column("candidates").is_valid(), batch.column("text"), pa.scalar(None, pa.string())), ALNUM)
+        words, at = word_hashes(_only(batch.column("text"), batch.column("candidates").is_valid().to_numpy(zero_copy_only=False)), ALNUM)
         for a, b, candidates in zip(at[:-1].tolist(), at[1:].tolist(), lists, strict=True):
             own, hit, windows = words[a:b], np.zeros(b - a, dtype=bool), set()
             by_width: dict[int, np.ndarray] = {}
@@ -181,6 +185,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     (F.col("n_hit") > 0).alias("contaminated"), F.coalesce("n_near", F.lit(0)).alias("n_near"), "items"))
 
 
+def clean_only(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id has no contaminated text."""
+    dirty = judged.where("contaminated").select(F.col("doc_id").alias("_dirty")).distinct()
+    return docs.join(dirty, docs.doc_id.eqNullSafe(dirty._dirty), "left_anti")
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x01-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS ws FROM documents),
