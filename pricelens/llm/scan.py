@@ -107,13 +107,13 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, word: np.ndarray) -> tupl
     return starts, np.flatnonzero(inside & ~after) + 1
 
 
-def word_hashes(texts: pa.Array, classes: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and the int64 bounds of each text's words."""
+def word_hashes(texts: pa.Array, classes: tuple[np.ndarray, np.ndarray], tails: bool = False) -> tuple[np.ndarray, ...]:
+    """Hashes of all words in order, and the int64 bounds of each text's words; with ``tails`` also hashes of the words' last three bytes."""
     word, value = classes
     data, offsets = buffers(texts)
     bounds, owner = _segments(data, offsets, word)
     counts = np.zeros(len(offsets) - 1, dtype=np.int64)
-    out, k = [], 0
+    out, endings, k = [], [], 0
     while k < len(owner):
         last = max(k + 1, int(np.searchsorted(bounds, bounds[k] + BLOCK, "right")) - 1)
         part = data[bounds[k]:bounds[last]]
@@ -123,11 +123,17 @@ def word_hashes(texts: pa.Array, classes: tuple[np.ndarray, np.ndarray]) -> tupl
         sums = np.zeros(len(part) + 1, dtype=np.uint64)
         np.cumsum(value[part] * up[:-1], out=sums[1:])
         out.append(mix((sums[ends] - sums[starts]) * down[starts]))
+        if tails:
+            code = np.zeros(len(ends), dtype=np.uint64)
+            for back in (1, 2, 3):
+                code = code << np.uint64(9) | np.where(ends - back >= starts, value[part[ends - back]], np.uint64(0))
+            endings.append(mix(code))
         np.add.at(counts, owner[k:last], np.diff(np.searchsorted(starts, inner)))
         k = last
     at = np.zeros(len(offsets), dtype=np.int64)
     np.cumsum(counts, out=at[1:])
-    return (np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)), at
+    whole = [np.concatenate(x) if x else np.zeros(0, dtype=np.uint64) for x in (out, endings)]
+    return (whole[0], at, whole[1]) if tails else (whole[0], at)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 4 * BLOCK) -> Iterator[pa.RecordBatch]:
