@@ -10,6 +10,7 @@ a space are encoded whole.
 from __future__ import annotations
 
 import os
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -18,6 +19,10 @@ import pyarrow as pa
 #: Pieces that a worker keeps; about 250 bytes each.
 CACHE = 600_000
 IDS = np.dtype("<u4")
+#: Pieces that are encoded as one text.
+RUN = 512
+#: How byte-level vocabularies write the space byte.
+SPACE = "\u0120"
 
 
 def default_path() -> str:
@@ -34,27 +39,39 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        vocabulary = self.whole.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
         self.first: dict[str, bytes] = {}
         self.after: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=IDS).tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, cache: dict[str, bytes], pieces: set[str], before: str) -> None:
-        new = [p for p in pieces if p not in cache]
-        plain = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
-        cache.update(zip(plain, self._encode([before + p for p in plain]), strict=True))
+        return [array("I", e.ids).tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, cache: dict[str, bytes], pieces: set[str], spaced: bool) -> None:
+        """Put the pieces' ids into ``cache``; not those with white space at an end, which no cut is safe beside."""
+        new = [p for p in pieces if p not in cache and p and not p[0].isspace() and not p[-1].isspace()]
+        if not spaced:
+            cache.update(zip(new, self._encode(new), strict=True))
+            return
+        # Many pieces as one text: a piece has one space, at its start, so its ids begin at each id that begins with one.
+        runs = [new[k:k + RUN] for k in range(0, len(new), RUN)]
+        for run, encoded in zip(runs, self.whole.encode_batch_fast([" " + " ".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(encoded.ids, dtype=IDS)
+            at = (np.flatnonzero(self.begins[ids]) * IDS.itemsize).tolist()
+            data = ids.tobytes()
+            cache.update(zip(run, [data[x:y] for x, y in zip(at, [*at[1:], len(data)], strict=True)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
         if len(self.first) + len(self.after) > CACHE:
             self.first.clear()
             self.after.clear()
-        self._learn(self.first, {s[0] for s in split}, "")
+        self._learn(self.first, {s[0] for s in split}, False)
         rest: set[str] = set()
         for s in split:
             rest.update(s[1:])
-        self._learn(self.after, rest, " ")
+        self._learn(self.after, rest, True)
         out: list[bytes | None] = []
         after = self.after.__getitem__
         odd = []
