@@ -107,7 +107,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         named = found if named is None else named.unionByName(found)
     named = cut(named)
     place = F.struct(*_KEYS, "a")
-    first = named.groupBy("n", "r1", "r2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
+    first = cut(named.groupBy("n", "r1", "r2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times"))
     later = named.join(first, ["n", "r1", "r2"]).where(place > F.col("first")).select(*_KEYS, "a", "b").distinct()
     spots = active.select(*_KEYS, "pos", "line")
     spans = (later.join(spots.select(*_KEYS, F.col("pos").alias("a"), F.col("line").alias("lo")), [*_KEYS, "a"])
