@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .numeric import nonzero, round_half_up
+from .text import WS, WS_SET
 
 # First amount in a text, after any currency word ("Rs.", "MRP", the rupee sign).
 AMOUNT_PATTERN = r"([0-9]+(?:\.[0-9]+)?)"
@@ -32,7 +33,7 @@ def clean_price(text: Column, rule: str = "first_amount") -> Column:
 
 def join_price_parts(whole: Column, fraction: Column) -> Column:
     """Whole + fraction spans of a displayed price -> price text."""
-    w = F.regexp_replace(F.rtrim(whole), r"[.\s]+$", "")
+    w = F.regexp_replace(whole, f"[.{WS_SET}]+$", "")
     return F.concat_ws(".", w, F.coalesce(F.nullif(fraction, F.lit("")), F.lit("00")))
 
 
@@ -88,7 +89,7 @@ def value_score(ppu: Column, price: Column, delivery_mins: Column) -> Column:
 def amounts(text: Column) -> Column:
     """All rupee amounts in a text, in order, as array<double>."""
     found = F.regexp_extract_all(F.regexp_replace(text, ",", ""),
-                                 F.lit("₹\\s*([0-9]+(?:\\.[0-9]+)?)"), 1)
+                                 F.lit(f"₹{WS}*([0-9]+(?:[.][0-9]+)?)"), 1)
     return F.transform(found, lambda s: s.cast("double"))
 
 

@@ -9,23 +9,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import WS
+
 NOT_WORD_BEFORE = r"(?<![0-9A-Za-z_])"
 NOT_WORD_AFTER = r"(?![0-9A-Za-z_])"
 UNIT_ALTERNATION = r"(kg|grams?|gms?|g|litres?|liters?|lit|l|ml)"
 NUMBER = r"([0-9]+(?:\.[0-9]+)?)"
 
-# Weight/volume: number, optional space, unit; first match wins.
-SIZE_PATTERN = "(?i)" + NOT_WORD_BEFORE + NUMBER + r"\s*" + UNIT_ALTERNATION + NOT_WORD_AFTER
+# The unit words and forms that shops use. Weight/volume: number, optional space, unit; first match wins.
+SIZE_PATTERN = "(?i)" + NOT_WORD_BEFORE + NUMBER + WS + "*" + UNIT_ALTERNATION + NOT_WORD_AFTER
 # Count: "12 pcs", "6 eggs", "pack of 12 eggs", "x 10 units".
-COUNT_PATTERN = r"(?i)(?:pack\s+of\s+|x\s*)?([0-9]+)\s*(?:pcs?|pieces?|eggs?|units?)"
+COUNT_PATTERN = f"(?i)(?:pack{WS}+of{WS}+|x{WS}*)?([0-9]+){WS}*(?:pcs?|pieces?|eggs?|units?)"
 
 # Extended forms (documented rules, checked in this order).
-MULTI_PATTERN = ("(?i)" + NOT_WORD_BEFORE + r"([0-9]+)\s*[x×]\s*" + NUMBER + r"\s*"
+MULTI_PATTERN = ("(?i)" + NOT_WORD_BEFORE + f"([0-9]+){WS}*[x×]{WS}*" + NUMBER + WS + "*"
                  + UNIT_ALTERNATION + NOT_WORD_AFTER)
-HALF_PATTERN = r"(?i)" + NOT_WORD_BEFORE + r"(?:half|1/2)\s*" + UNIT_ALTERNATION + NOT_WORD_AFTER
-HALF_DOZEN_PATTERN = r"(?i)" + NOT_WORD_BEFORE + r"half\s+dozen" + NOT_WORD_AFTER
-DOZEN_PATTERN = r"(?i)" + NOT_WORD_BEFORE + r"([0-9]+)\s*dozens?" + NOT_WORD_AFTER
-PACK_OF_PATTERN = r"(?i)pack\s+of\s+([0-9]+)"
+HALF_PATTERN = r"(?i)" + NOT_WORD_BEFORE + f"(?:half|1/2){WS}*" + UNIT_ALTERNATION + NOT_WORD_AFTER
+HALF_DOZEN_PATTERN = r"(?i)" + NOT_WORD_BEFORE + f"half{WS}+dozen" + NOT_WORD_AFTER
+DOZEN_PATTERN = r"(?i)" + NOT_WORD_BEFORE + f"([0-9]+){WS}*dozens?" + NOT_WORD_AFTER
+PACK_OF_PATTERN = f"(?i)pack{WS}+of{WS}+([0-9]+)"
 
 
 def canonical_unit(raw: Column) -> Column:
@@ -45,8 +47,8 @@ def _size_struct(q: Column, unit: Column, label: Column) -> Column:
 def extract_size(name: Column) -> Column:
     """struct(quantity string, unit string, size_label string), the code's rules.
 
-    ``Amul Milk 500 ml`` -> (500, ml, 500ml); ``Eggs 12 pcs`` -> (12, pcs, 12 pcs);
-    no size -> (1, pcs, ''). ``2 x 500g`` reads as 500 g and ``1,000 g`` as 000 g.
+    ``Lime Soda 750 ml`` -> (750, ml, 750ml); ``Rolls 8 pcs`` -> (8, pcs, 8 pcs);
+    no size -> (1, pcs, ''). ``3 x 90g`` reads as 90 g and ``2,000 g`` as 000 g.
     """
     qty = F.regexp_extract(name, SIZE_PATTERN, 1)
     unit = canonical_unit(F.regexp_extract(name, SIZE_PATTERN, 2))
@@ -154,7 +156,7 @@ def _extended_from(m: Column, h: Column, hd: Column, dz: Column, s: Column, pk:
     num = r"[0-9]+(?:\.[0-9]+)?"
     unit_tail = r"(?i)[a-z]+$"
     m_n = F.regexp_extract(m, r"[0-9]+", 0)
-    m_q = F.regexp_extract(m, r"(?i)[x×]\s*(" + num + ")", 1)
+    m_q = F.regexp_extract(m, f"(?i)[x×]{WS}*(" + num + ")", 1)
     m_u = canonical_unit(F.regexp_extract(m, unit_tail, 0))
     h_u = canonical_unit(F.regexp_extract(h, unit_tail, 0))
     s_q = F.regexp_extract(s, "^" + num, 0)

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Whitespace class shared with the checking SQL (RE2 has no \v in \s).
-WS = r"[ \t\n\x0B\f\r]"
+# Whitespace as web pages use it: ASCII and Unicode spaces (no-break, thin, ideographic ...),
+# written out so that Java and RE2 agree.
+WS_SET = r" \t\n\x0B\f\r\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+WS = f"[{WS_SET}]"
 
 
-WS_CHARS = " \t\n\x0b\f\r"
+WS_CHARS = (" \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B)))
+            + "\u2028\u2029\u202f\u205f\u3000")
 
 
 def strip_text(c: Column) -> Column:
@@ -20,9 +23,10 @@ def strip_text(c: Column) -> Column:
     return F.btrim(c, F.lit(WS_CHARS))
 
 
-def clip(c: Column, n: int) -> Column:
-    """Strip, then keep the first n characters."""
-    return F.substring(strip_text(F.coalesce(c, F.lit(""))), 1, n)
+def clean_text(c: Column, limit: int | None = None) -> Column:
+    """Strip; null is empty (X9). ``limit`` keeps the first characters, for display only."""
+    whole = strip_text(F.coalesce(c, F.lit("")))
+    return whole if limit is None else F.substring(whole, 1, limit)
 
 
 def squeeze_spaces(c: Column) -> Column:
@@ -36,20 +40,20 @@ def clean_product_name(raw: Column, brand: Column) -> Column:
     n = F.regexp_replace(n, WS + r"+[0-9]{5,}", "")
     b = F.coalesce(brand, F.lit(""))
     cut = (b != "") & F.startswith(F.lower(n), F.lower(b))
-    n = F.when(cut, strip_text(F.substring(n, F.length(b) + 1, 1 << 20))).otherwise(n)
+    n = F.when(cut, strip_text(F.substr(n, F.length(b) + 1))).otherwise(n)
     return squeeze_spaces(n)
 
 
 def card_name(card_text: Column) -> Column:
     """Name = text before the first rupee sign, minus a leading 'N mins' and a trailing ADD (X11)."""
     before = strip_text(F.substring_index(card_text, "₹", 1))
-    no_eta = F.regexp_replace(before, r"(?i)^[0-9]+\s*mins?\s+", "")
-    return strip_text(F.regexp_replace(no_eta, r"\s*(ADD|add)\s*$", ""))
+    no_eta = F.regexp_replace(before, f"(?i)^[0-9]+{WS}*mins?{WS}+", "")
+    return strip_text(F.regexp_replace(no_eta, f"{WS}*(ADD|add){WS}*$", ""))
 
 
 def observed_minutes(text: Column) -> Column:
     """'9 mins' -> 9 (X12); null when absent."""
-    return F.nullif(F.regexp_extract(text, r"(?i)([0-9]+)\s*mins?", 1), F.lit("")).try_cast("int")
+    return F.nullif(F.regexp_extract(text, f"(?i)([0-9]+){WS}*mins?", 1), F.lit("")).try_cast("int")
 
 
 def longest(arr: Column) -> Column:
@@ -67,12 +71,9 @@ def brand_guess(name: Column) -> Column:
 
 
 def bullets_description(bullets: Column) -> Column:
-    """Up to two bullets longer than 5 chars, joined by ' | ', 200 chars.
-
-    The length filter applies after taking the first two, as in the reference.
-    """
+    """The first two bullets, those longer than 5 characters, joined by ' | ' (X16)."""
     two = F.slice(F.transform(bullets, strip_text), 1, 2)
-    return F.substring(F.array_join(F.filter(two, lambda b: F.length(b) > 5), " | "), 1, 200)
+    return F.array_join(F.filter(two, lambda b: F.length(b) > 5), " | ")
 
 
 def absolute_url(href: Column, host: Column) -> Column:
@@ -106,5 +107,5 @@ def json_brand(doc: Column) -> Column:
 
 def is_price_fragment(text: Column, anchored: bool) -> Column:
     """A text that starts with (or contains) rupee sign + digits."""
-    pat = r"^\s*₹\s*[0-9]" if anchored else r"₹\s*[0-9]"
+    pat = f"^{WS}*₹{WS}*[0-9]" if anchored else f"₹{WS}*[0-9]"
     return F.coalesce(text.rlike(pat), F.lit(False))

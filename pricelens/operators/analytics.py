@@ -78,7 +78,7 @@ def _fixed(x: Column, digits: int) -> Column:
 
 
 def display_table(ranked: DataFrame) -> DataFrame:
-    """Display strings of the result table (P9) with the display sort key (T5)."""
+    """Display strings of the result table (P9), in display order (T5)."""
     dm = F.col("delivery_mins")
     ppu, vs = F.col("price_per_unit"), F.col("value_score")
     return ranked.select(
@@ -99,15 +99,15 @@ def display_table(ranked: DataFrame) -> DataFrame:
          .alias("mrp_text"),
         F.when(F.col("discount_pct") > 0, F.concat(_fixed(F.col("discount_pct"), 0), F.lit("%")))
          .otherwise(F.lit(MISSING)).alias("discount_text"),
-    )
+    ).orderBy("search_id", "sort_key", "line_no", "part_id")
 
 
 def chart_rows(listings: DataFrame) -> DataFrame:
-    """Bar-chart rows: positive prices, label = 32 chars + [platform]."""
+    """Bar-chart rows, cheapest first: positive prices, label = 32 characters (display) + [platform]."""
     return (listings.where(F.col("price") > 0)
             .select("search_id", F.concat(F.substring(F.coalesce("product_name", F.lit("")), 1, 32),
                                           F.lit("  ["), F.coalesce("platform", F.lit("")), F.lit("]"))
-                    .alias("label"), "price", "platform"))
+                    .alias("label"), "price", "platform").orderBy("search_id", "price", "label"))
 
 
 def user_filters(listings: DataFrame, platforms: list[str] | None = None, min_price: float = 0.0,
@@ -293,7 +293,7 @@ def with_progress(df: DataFrame, name: str = "progress"):
     """
     from pyspark.sql import Observation
     obs = Observation(name)
+    from ..reference_data import PLATFORM_NAMES
     metrics = [F.count(F.lit(1)).alias("rows")] + [
-        F.count_if(F.col("platform") == p).alias(p.replace(" ", "_")) for p in
-        ("Amazon Fresh", "Blinkit", "BigBasket", "Zepto")]
+        F.count_if(F.col("platform") == p).alias(p.replace(" ", "_")) for p in PLATFORM_NAMES]
     return df.observe(obs, *metrics), obs

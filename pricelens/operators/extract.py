@@ -1,320 +1,358 @@
-"""Captured pages -> raw offers, as one Spark job per page shape.
-
-Card layouts are cut with ``split`` + ``posexplode`` and read with native
-regex columns. The embedded ``__NEXT_DATA__`` JSON is walked by a small
-Arrow-batched pandas UDF (the tree shape is not known up front). Plain markup
-without cards is read by the price-walk: a tolerant stdlib HTML tokenizer per
-page inside ``mapInPandas``, driven by the per-platform settings table. A page
-that fails to parse yields no offers and one quarantine row with the reason.
+"""Captured pages -> raw offers, one pass per page.
+
+Each shop has its strategies in order (``shop_pages.SHOPS``): result cards, flex
+cards, the embedded JSON, or the walk from price texts up to the nearest name.
+The first strategy that finds offers wins (U2). Pages are read by an Arrow-batched
+map, in small chunks of pages, because neither an HTML tree nor the JSON's shape
+is known to the engine; everything after it is native. All offers of a page are
+returned: a limit is the caller's (``rules.first_n_per_page``). A page that
+cannot be parsed, or gives no offers, yields one quarantine row with the reason.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from html.parser import HTMLParser
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .. import functions as X
-from ..reference_data import JSON_SETTINGS, PARSER_SETTINGS
+from .. import shop_pages as S
+from ..reference_data import PLATFORMS
 from ..sources.lookups import platform_attr
-from .analytics import best_by
+from .pagetree import Element, Page
 
 RAW_COLUMNS = ["page_id", "search_id", "platform", "pincode", "position", "name", "price", "mrp",
-               "brand", "description", "product_url", "observed_mins"]
-SETTINGS = {s[0]: s for s in PARSER_SETTINGS}
-
-CARD_MARK = '<div data-component-type="s-search-result">'
-FLEX_MARK = '<div class="tw-flex tw-w-full tw-flex-col">'
-
-
-def _cards(pages: DataFrame, marker: str) -> DataFrame:
-    """One row per card: the text between consecutive markers, with its 0-based position."""
-    parts = F.split(F.col("html"), re.escape(marker))
-    return pages.select("page_id", "search_id", "platform", "pincode",
-                        F.posexplode(F.slice(parts, 2, 1 << 30)).alias("position", "card"))
-
-
-def page_text(html: Column) -> Column:
-    """Tag-stripped text with single spaces (like get_text(' ', strip=True))."""
-    return X.strip_text(F.regexp_replace(F.regexp_replace(html, "<[^>]+>", " "), r"\s+", " "))
-
-
-def _first_by_name(df: DataFrame) -> DataFrame:
-    """First card per product name inside a page."""
-    payload = [c for c in RAW_COLUMNS if c not in ("page_id", "name")]
-    return best_by(df, ["page_id", "name"], [F.col("position")], payload).select(*RAW_COLUMNS)
-
-
-def extract_result_cards(pages: DataFrame) -> DataFrame:
-    """Result cards - longest title span, ordered prices, sanity repair, url, brand, bullets."""
-    c = _cards(pages, CARD_MARK).where(F.col("position") < 35)  # T7: first 35 cards
-    h2 = F.regexp_extract(F.col("card"), r"(?s)<h2[^>]*>(.*?)</h2>", 1)
-    spans = F.filter(F.transform(F.regexp_extract_all(h2, F.lit(r"<span[^>]*>([^<]*)</span>"), 1), X.strip_text),
-                     lambda s: s != "")
-    found = F.filter(F.transform(F.regexp_extract_all(F.col("card"), F.lit(r'class="a-offscreen">([^<]*)<'), 1),
-                                 lambda t: X.clean_price(t)), lambda p: p > 1)
-    href = F.regexp_extract(F.col("card"), r'<h2[^>]*>\s*<a[^>]*href="([^"]*)"', 1)
-    bullets = F.regexp_extract_all(F.col("card"), F.lit(r'class="a-list-item">([^<]*)<'), 1)
-    staged = c.select("page_id", "search_id", "platform", "pincode", "position", "card",
-                      X.longest(spans).alias("name"), found.alias("found"), href.alias("href"),
-                      bullets.alias("bullets"))
-    # Without offscreen prices, the whole + fraction spans make the price.
-    whole = F.regexp_extract(F.col("card"), r'class="a-price-whole">([^<]*)<', 1)
-    frac = F.regexp_extract(F.col("card"), r'class="a-price-fraction">([^<]*)<', 1)
-    staged = staged.withColumn("_parts", F.when(whole != "", X.join_price_parts(
-        F.replace(whole, F.lit(","), F.lit("")), frac)))
-    first = F.coalesce(F.try_element_at(F.col("found"), F.lit(1)), X.clean_price(F.col("_parts")))
-    mrp = F.coalesce(X.card_mrp(first, F.col("found")), F.lit(0.0))
-    out = staged.select(
-        "page_id", "search_id", "platform", "pincode", "position", "name",
-        F.when(mrp > 0, X.sanity_price(first, mrp, F.col("found"))).otherwise(first).alias("price"),
-        mrp.alias("mrp"), X.brand_guess(F.col("name")).alias("brand"),
-        X.bullets_description(F.col("bullets")).alias("description"),
-        X.absolute_url(F.col("href"), F.coalesce(platform_attr(F.col("platform"), "host"), F.lit("")))
-        .alias("product_url"),
-        F.lit(None).cast("int").alias("observed_mins"))
-    valid = F.coalesce(F.length("name"), F.lit(0)) >= 4
-    return _first_by_name(out.where(valid & F.col("price").isNotNull()))
-
-
-def extract_flex_cards(pages: DataFrame) -> DataFrame:
-    """Flex cards - name before the first rupee sign, ordered amounts, ETA minutes."""
-    c = _cards(pages, FLEX_MARK)
-    text = page_text(F.col("card"))
-    found = X.amounts(text)
-    staged = c.select("page_id", "search_id", "platform", "pincode", "position",
-                      X.card_name(text).alias("name"), found.alias("found"),
-                      X.observed_minutes(text).alias("observed_mins"),
-                      F.regexp_extract(F.col("card"), r'<a[^>]*href="(/[^"]{3,})"', 1).alias("href"))
-    first = X.clean_price(F.try_element_at(F.col("found"), F.lit(1)).cast("string"))
-    second = F.try_element_at(F.col("found"), F.lit(2))
-    out = staged.select(
-        "page_id", "search_id", "platform", "pincode", "position", "name", first.alias("price"),
-        F.when(second > first, second).otherwise(F.lit(0.0)).alias("mrp"),
-        F.lit("").alias("brand"), F.lit("").alias("description"),
-        F.when(F.col("href") != "", F.concat(F.coalesce(platform_attr(F.col("platform"), "host"), F.lit("")),
-                                            F.col("href"))).otherwise(F.lit("")).alias("product_url"),
-        "observed_mins")
-    valid = (F.coalesce(F.length("name"), F.lit(0)) >= 3) & (F.size("found") > 0)
-    return _first_by_name(out.where(valid & F.col("price").isNotNull()))
+               "brand", "description", "product_url", "observed_mins", "pack", "strategy"]
+HOSTS = {p[0]: p[3] for p in PLATFORMS}
+#: Pages per output chunk: what one task holds beside the current page.
+CHUNK = 64
+Offer = dict
+_AMOUNT = re.compile(r"₹\s*([0-9]+(?:\.[0-9]+)?)")
+_NUMBER = re.compile(r"[0-9]+(?:\.[0-9]+)?")
+_STARTS = re.compile(r"^\s*₹\s*[0-9]")
+_HOLDS = re.compile(r"₹\s*[0-9]")
+_MINUTES = re.compile(r"([0-9]+)\s*mins?", re.I)
+
+
+@lru_cache(None)
+def _pattern(text: str) -> re.Pattern:
+    return re.compile(text, re.I)
+
+
+def amount(text) -> float | None:
+    """First amount of a displayed price, if positive."""
+    found = _NUMBER.search(str(text).replace(",", "")) if text is not None else None
+    value = float(found.group()) if found else 0.0
+    return value if value > 0 else None
+
+
+def amounts(text: str) -> list[float]:
+    return [v for v in map(float, _AMOUNT.findall(text.replace(",", ""))) if v > 0]
+
+
+def _offer(name: str, price: float, mrp: float | None = None, brand: str = "", description: str = "", link: str = "",
+           mins: int | None = None, pack: str = "", at: int = 0) -> Offer:
+    """``at``: place of the card, item or price text on its page."""
+    return {"at": at, "name": name, "price": price, "mrp": mrp if mrp and mrp > price else 0.0, "brand": brand,
+            "description": description, "link": link, "mins": mins, "pack": pack}
+
+
+def _first_of_each(offers: list[Offer], key: Callable[[Offer], object]) -> list[Offer]:
+    kept: dict = {}
+    for o in offers:
+        kept.setdefault(key(o), o)
+    return list(kept.values())
+
+
+def _has_classes(wanted: list[str]) -> Callable[[Element], bool]:
+    return lambda e: set(wanted) <= set(e.classes.split())
+
+
+# --------------------------------------------------------------------------- links
+
+def _link(page: Page, card: Element, shop: dict) -> str:
+    """A product link in the card, else any link in it, else the nearest link around or beside it."""
+    if "link" not in shop:
+        return ""
+    least = shop.get("link_min", 2)
+
+    def local(e: Element | None) -> str:
+        href = e.attrs.get("href", "") if e is not None else ""
+        return href if href.startswith("/") and len(href) >= least else ""
+
+    wanted = _pattern(shop["link"])
+    inside = page.first_inside(card, "product link", lambda e: e.tag == "a" and bool(wanted.search(e.attrs.get("href", ""))))
+    found = local(inside or page.first_inside(card, "link", lambda e: e.tag == "a" and bool(e.attrs.get("href"))))
+    if found:
+        return found
+    for node in card.ancestors(shop["link_levels"]):
+        if node.tag == "a" and local(node):
+            return local(node)
+        if shop["link_above"]:
+            above = _pattern(shop["link_above"])
+            near = page.first_inside(node, "link above", lambda e: e.tag == "a" and bool(above.search(e.attrs.get("href", ""))))
+            if near is not None:
+                return near.attrs["href"]
+    return ""
+
+
+# --------------------------------------------------------------------------- cards
+
+def result_cards(page: Page, shop: dict) -> list[Offer]:
+    """Result cards: longest title span, first shown price, repaired when it is a unit price."""
+    shown, whole_of, part_of = (_has_classes([c]) for c in (S.CARD_SHOWN, S.CARD_WHOLE, S.CARD_FRACTION))
+    out = []
+    for at, card in enumerate(e for e in page.elements if e.attrs.get(S.CARD_ATTRIBUTE) == S.CARD_VALUE):
+        title = page.first_inside(card, "h2", lambda e: e.tag == "h2")
+        if title is None:
+            continue
+        spans = [page.text(e, "") for e in page.all_inside(title, "span", lambda e: e.tag == "span")]
+        name = max((s for s in spans if s), key=len, default="")
+        if len(name) < 4:
+            continue
+        prices = [page.first_inside(c, "shown", shown) for c in page.all_inside(card, "price box", _has_classes([S.CARD_PRICE]))]
+        found = [v for v in (amount(page.text(e, "")) for e in prices if e is not None) if v and v > 1]
+        top = max(found, default=0.0)
+        if found:
+            price = found[0]
+            if top > price and price < 0.05 * top:
+                price = next(v for v in found if v >= 0.05 * top)
+        else:
+            whole, part = page.first_inside(card, "whole", whole_of), page.first_inside(card, "fraction", part_of)
+            if whole is None:
+                continue
+            units = page.text(whole, "").replace(",", "").rstrip(". ")
+            price = amount(f"{units}.{page.text(part, '') if part is not None else '00'}")
+        if not price:
+            continue
+        link = page.first_inside(title, "title link", lambda e: e.tag == "a" and "href" in e.attrs)
+        bullets = page.all_inside(card, "bullet", lambda e: any(_has_classes(c)(e) for c in S.CARD_BULLETS))
+        texts = [page.text(b, "") for b in bullets[:2]]
+        first = name.split()[0]
+        brand = first if len(first) > 1 and not first[0].isdigit() else ""
+        out.append(_offer(name, price, top, brand, " | ".join(t for t in texts if len(t) > 5), link.attrs["href"] if link is not None else "", at=at))
+    return _first_of_each(out, lambda o: o["name"])
+
+
+def _name_before_price(text: str) -> str:
+    before = re.sub(r"^[0-9]+\s*mins?\s+", "", text.split("₹")[0].strip(), flags=re.I)
+    return re.sub(r"\s*(ADD|add)\s*$", "", before).strip()
+
+
+def flex_cards(page: Page, shop: dict) -> list[Offer]:
+    """Flex cards: the name stands before the first price; minutes are read from the card's surroundings."""
+    out = []
+    for at, card in enumerate(filter(_has_classes(S.FLEX_CLASSES), page.elements)):
+        text = page.text(card)
+        name, found = _name_before_price(text), amounts(text)
+        if "₹" not in text or len(name) < 3 or not found:
+            continue
+        around = page.text(card.parent) if card.parent is not page.root else text
+        minutes = _MINUTES.search(around)
+        out.append(_offer(name, found[0], found[1] if len(found) > 1 else None, link=_link(page, card, shop), mins=int(minutes.group(1)) if minutes else None, at=at))
+    return _first_of_each(out, lambda o: o["name"])
 
 
 # --------------------------------------------------------------------------- embedded JSON
 
-NEXT_DATA = r'(?s)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>'
-ITEM_SCHEMA = T.ArrayType(T.StructType([
-    T.StructField("array_no", T.IntegerType()), T.StructField("n", T.IntegerType()),
-    T.StructField("pos", T.IntegerType()), T.StructField("item", T.StringType())]))
-NAME_KEYS = ["name", "product_name", "display_name", "title"]
-PRICE_KEYS = ["price", "sp", "selling_price", "offer_price"]
-MRP_KEYS = ["mrp", "mrp_price", "marked_price"]
-URL_KEYS = ["url", "absolute_url", "slug"]
-
-
-def _walk_arrays(doc, max_depth: int):
-    """Arrays whose first element is an object with a name or price key, in walk order."""
-    found = []
-
-    def visit(node, depth):
-        if depth > max_depth:
-            return
-        if isinstance(node, list):
-            if node and isinstance(node[0], dict) and any(k in node[0] for k in NAME_KEYS + PRICE_KEYS):
-                found.append(node)
-            for v in node:
-                visit(v, depth + 1)
-        elif isinstance(node, dict):
-            for v in node.values():
-                visit(v, depth + 1)
-    visit(doc, 0)
+def next_data(page: Page) -> object | None:
+    holder = next((e for e in page.elements if e.tag == "script" and e.attrs.get("id") == S.NEXT_DATA_ID), None)
+    return json.loads(page.text(holder, "")) if holder is not None else None
+
+
+def product_arrays(document: object, keys: list[str], depth: int) -> list[list]:
+    """Arrays whose first item is an object with one of ``keys``, in document order; not those inside such an array."""
+    found, todo = [], [(document, 0)]
+    while todo:
+        node, level = todo.pop()
+        if level > depth:
+            continue
+        if isinstance(node, list) and node and isinstance(node[0], dict) and not node[0].keys().isdisjoint(keys):
+            found.append(node)
+            continue
+        inner = list(node.values()) if isinstance(node, dict) else node if isinstance(node, list) else []
+        todo.extend((x, level + 1) for x in reversed(inner))
     return found
 
 
-@F.pandas_udf(ITEM_SCHEMA)
-def json_product_items(docs: pd.Series, depth: pd.Series) -> pd.Series:
-    """Per page: candidate product arrays of the embedded JSON, flattened with positions."""
+def _first_value(item: dict, keys: list[str]) -> object:
+    return next((item[k] for k in keys if item.get(k)), "")
+
+
+def json_items(page: Page, shop: dict) -> list[Offer]:
+    """Offers of the longest product array, the first on ties (A10)."""
+    rules, document = shop["json"], next_data(page)
+    arrays = product_arrays(document, rules["keys"], rules["depth"]) if document is not None else []
     out = []
-    for doc, d in zip(docs, depth):
-        rows = []
-        try:
-            tree = json.loads(doc) if doc else None
-        except (ValueError, TypeError):
-            tree = None
-        if tree is not None:
-            for i, arr in enumerate(_walk_arrays(tree, int(d))):
-                for j, item in enumerate(arr):
-                    rows.append({"array_no": i, "n": len(arr), "pos": j, "item": json.dumps(item)})
-        out.append(rows)
-    return pd.Series(out)
-
-
-def extract_next_data(pages: DataFrame, depth: int = 12) -> DataFrame:
-    """Largest product array of __NEXT_DATA__ (first on ties), first N items."""
-    doc = F.nullif(F.regexp_extract(F.col("html"), NEXT_DATA, 1), F.lit(""))
-    items = pages.select("page_id", "search_id", "platform", "pincode",
-                         F.explode(json_product_items(doc, F.lit(depth))).alias("it"))
-    flat = items.select("page_id", "search_id", "platform", "pincode", "it.*")
-    # A10: per page the array with most items, first in walk order on ties.
-    best = flat.groupBy("page_id").agg(F.max(F.struct(F.col("n"), (-F.col("array_no")).alias("neg"))).alias("b"))
-    chosen = flat.join(best.select("page_id", (-F.col("b.neg")).alias("array_no")), ["page_id", "array_no"])
-    cap = F.try_element_at(F.create_map(*[x for s in JSON_SETTINGS for x in (F.lit(s[0]), F.lit(s[1]))]),
-                           F.col("platform"))
-    chosen = chosen.where(F.col("pos") < F.coalesce(cap, F.lit(40)))
-    it = F.col("item")
-    price = X.clean_price(X.first_json_key(it, PRICE_KEYS))
-    mrp_v = X.clean_price(X.first_json_key(it, MRP_KEYS))
-    url = F.coalesce(X.first_json_key(it, URL_KEYS), F.lit(""))
-    return chosen.select(
-        "page_id", "search_id", "platform", "pincode", F.col("pos").alias("position"),
-        X.strip_text(X.first_json_key(it, NAME_KEYS)).alias("name"), price.alias("price"),
-        F.when(mrp_v > price, mrp_v).otherwise(F.lit(0.0)).alias("mrp"),
-        F.coalesce(X.json_brand(it), F.lit("")).alias("brand"), F.lit("").alias("description"),
-        X.absolute_url(url, F.coalesce(platform_attr(F.col("platform"), "host"), F.lit(""))).alias("product_url"),
-        F.lit(None).cast("int").alias("observed_mins"),
-    ).where(F.col("name").isNotNull() & (F.col("name") != "") & F.col("price").isNotNull())
-
-
-# --------------------------------------------------------------------------- price walk
-
-class _Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "text")
-
-    def __init__(self, tag, attrs, parent):
-        self.tag, self.attrs, self.parent, self.children, self.text = tag, attrs, parent, [], []
-
-    def all_text(self):
-        parts = list(self.text)
-        for ch in self.children:
-            parts.append(ch.all_text())
-        return " ".join(p for p in parts if p).strip()
-
-
-class _Tree(HTMLParser):
-    VOID = {"br", "img", "meta", "link", "input", "hr", "source", "wbr"}
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = _Node("root", {}, None)
-        self.cur = self.root
-        self.nodes = []
-
-    def handle_starttag(self, tag, attrs):
-        node = _Node(tag, dict(attrs), self.cur)
-        self.cur.children.append(node)
-        self.nodes.append(node)
-        if tag not in self.VOID:
-            self.cur = node
-
-    def handle_endtag(self, tag):
-        n = self.cur
-        while n is not None and n.tag != tag:
-            n = n.parent
-        if n is not None and n.parent is not None:
-            self.cur = n.parent
-
-    def handle_data(self, data):
-        if data.strip():
-            self.cur.text.append(data.strip())
-
-
-_PRICE_LEAF = re.compile(r"^\s*₹\s*\d")
-_NAME_CLASS = re.compile(r"name|title|product", re.I)
-_AMOUNT = re.compile(r"₹\s*(\d+(?:\.\d+)?)")
-
-
-def _clean(text):
-    m = re.search(r"\d+(?:\.\d+)?", (text or "").replace(",", ""))
-    v = float(m.group(0)) if m else None
-    return v if v and v > 0 else None
-
-
-def _find_name(card):
-    stack = list(card.children)
-    while stack:
-        n = stack.pop(0)
-        if n.tag in ("h4", "h3", "h2") or _NAME_CLASS.search(n.attrs.get("class", "") or ""):
-            return n.all_text()
-        stack.extend(n.children)
-    return None
-
-
-def _walk_page(html, platform):
-    s = SETTINGS.get(platform, (platform, 60, 8, 4, 1.0, True, False))
-    cap, levels, min_name, min_price, inclusive, no_rupee = s[1], s[2], s[3], s[4], s[5], s[6]
-    tree = _Tree()
-    tree.feed(html or "")
-    leaves = [n for n in tree.nodes if n.tag in ("span", "div") and len(n.text) == 1 and not n.children
-              and _PRICE_LEAF.match(n.text[0])]
-    rows, seen = [], set()
-    for pos, leaf in enumerate(leaves[:cap]):
-        price = _clean(leaf.text[0])
-        if price is None or (price < min_price if inclusive else price <= min_price):
+    for at, item in enumerate(max(arrays, key=len, default=[])):
+        if not isinstance(item, dict):
             continue
-        card, name = leaf, None
-        for _ in range(levels):
-            card = card.parent
-            if card is None:
-                break
-            cand = _find_name(card)
-            if cand and len(cand) >= min_name and not (no_rupee and cand.startswith("₹")):
-                name = cand
-                break
-        if not name or name in seen:
+        name, price = str(_first_value(item, rules["name"])), amount(_first_value(item, rules["price"]))
+        if not name or not price:
             continue
-        seen.add(name)
-        amounts = [float(a) for a in _AMOUNT.findall(card.all_text().replace(",", ""))]
-        top = max(amounts) if len(amounts) >= 2 else 0.0
-        href = next((n.attrs.get("href") for n in [card, *card.children] if n.tag == "a" and n.attrs.get("href")), "")
-        rows.append((pos, name, price, top if top > price else 0.0, href or ""))
-    return rows
+        brand = _first_value(item, rules["brand"])
+        brand = brand.get("name") or "" if isinstance(brand, dict) else brand
+        out.append(_offer(name, price, amount(_first_value(item, rules["mrp"])), str(brand), str(_first_value(item, rules["description"])),
+                          str(_first_value(item, rules["url"])), pack=str(_first_value(item, rules["pack"])), at=at))
+    return _first_of_each(out, lambda o: o["name"]) if rules["one_per_name"] else out
+
 
+# --------------------------------------------------------------------------- walk from prices
 
-WALK_SCHEMA = T.StructType([
+def _price_elements(page: Page, rules: dict) -> list[tuple[Element, str]]:
+    tags, kind = set(rules["tags"]), rules["price"]
+    inner = {"span", "div", "p"}
+    out = []
+    for e in page.elements:
+        if e.tag not in tags or e.last_text == e.first_text:
+            continue
+        if kind == "leaf":
+            text = page.text(e, "") if not any(page.elements[k].tag in inner for k in range(e.number + 1, e.end)) else None
+        else:
+            text = page.only_text(e)
+        if text is not None and (_STARTS if kind == "starts" else _HOLDS).search(text):
+            out.append((e, text))
+    return out
+
+
+def _test(tag: str | None, attribute: str | None, pattern: str | None) -> Callable[[Element], bool]:
+    match = _pattern(pattern) if pattern else None
+
+    def passes(e: Element) -> bool:
+        if tag is not None and e.tag != tag:
+            return False
+        return attribute is None or (attribute in e.attrs and (match is None or bool(match.search(e.attrs[attribute]))))
+    return passes
+
+
+def clean_listed_name(name: str, brand: str) -> str:
+    """Without the rating tail, trailing and long numbers, and a brand run into the name."""
+    name = re.sub(r"\s*[0-9]+(\.[0-9]+)?\s*ratings?.*$", "", name, flags=re.I | re.S)
+    name = re.sub(r"\s+[0-9]+(\.[0-9]+)?\s*$", "", name)
+    name = re.sub(r"\s+[0-9]{5,}", "", name)
+    if brand and name.lower().startswith(brand.lower()):
+        name = name[len(brand):]
+    return " ".join(name.split())
+
+
+def _name_in(page: Page, card: Element, rules: dict, brand: str) -> str:
+    if rules["names"] == "text_before_price":
+        return _name_before_price(page.text(card))
+    for k, wanted in enumerate(rules["names"]):
+        e = page.first_inside(card, f"name {k}", _test(*wanted))
+        if e is not None:
+            if rules.get("title_first") and e.attrs.get("title"):
+                return e.attrs["title"]
+            return clean_listed_name(page.text(e), brand) if rules.get("clean_name") else page.text(e, "")
+    return ""
+
+
+def price_walk(page: Page, shop: dict) -> list[Offer]:
+    """From each price text up to the nearest element with a name; the last short candidate of a cleaned name is kept (P5)."""
+    rules, out = shop["walk"], []
+    for at, (element, text) in enumerate(_price_elements(page, rules)):
+        price = amount(text)
+        if price is None or price < rules["min_price"]:
+            continue
+        name, brand, mrp, last = "", "", None, element
+        for card in element.ancestors(rules["levels"]):
+            last = card
+            if rules.get("brand") and not brand:
+                marked = page.first_inside(card, "brand", _test(None, "class", rules["brand"]))
+                brand = page.text(marked, "") if marked is not None else ""
+            candidate = _name_in(page, card, rules, brand)
+            good = len(candidate) >= rules["min_name"] and not (rules.get("no_rupee") and candidate.startswith("₹"))
+            if good or (candidate and rules.get("clean_name")):
+                name = candidate
+            if good:
+                break
+            if mrp is None and rules.get("mrp") == "amounts":
+                found = amounts(page.text(card))
+                mrp = max(found) if len(found) > 1 and max(found) > price else None
+            elif mrp is None and rules.get("mrp"):
+                struck = page.first_inside(card, "struck", _test(None, "class", rules["mrp"]))
+                value = amount(page.text(struck, "")) if struck is not None else None
+                mrp = value if value and value > price else None
+        if name:
+            out.append(_offer(name, price, mrp, brand, link=_link(page, last, shop), at=at))
+    return _first_of_each(out, lambda o: (o["name"], o["price"]) if rules.get("key") == "name_price" else o["name"])
+
+
+STRATEGIES: dict[str, Callable[[Page, dict], list[Offer]]] = {"cards": result_cards, "flex": flex_cards, "json": json_items, "walk": price_walk}
+
+
+def read_page(html: str, platform: str, only: str | None = None) -> tuple[str, list[Offer]]:
+    """(strategy, offers) of the first of the shop's strategies that finds any. A strategy that fails is passed over; if none finds offers, its error is raised."""
+    shop = S.SHOPS.get(platform)
+    if shop is None:
+        raise ValueError(f"unknown platform {platform!r}")
+    page, failure = Page(html), None
+    for strategy in shop["order"]:
+        if only in (None, strategy):
+            try:
+                offers = STRATEGIES[strategy](page, shop)
+            except (ValueError, KeyError, TypeError, AttributeError) as error:
+                failure = failure or error
+                continue
+            if offers:
+                return strategy, offers
+    if failure is not None:
+        raise failure
+    return "", []
+
+
+PAGE_SCHEMA = T.StructType([
     T.StructField("page_id", T.LongType()), T.StructField("search_id", T.LongType()),
     T.StructField("platform", T.StringType()), T.StructField("pincode", T.StringType()),
     T.StructField("position", T.IntegerType()), T.StructField("name", T.StringType()),
     T.StructField("price", T.DoubleType()), T.StructField("mrp", T.DoubleType()),
-    T.StructField("href", T.StringType()), T.StructField("error", T.StringType()),
+    T.StructField("brand", T.StringType()), T.StructField("description", T.StringType()),
+    T.StructField("product_url", T.StringType()), T.StructField("observed_mins", T.IntegerType()),
+    T.StructField("pack", T.StringType()), T.StructField("strategy", T.StringType()), T.StructField("error", T.StringType()),
 ])
+_NAMES = [f.name for f in PAGE_SCHEMA.fields]
 
 
-def _walk_batches(batches):
-    for pdf in batches:
-        out = []
-        for r in pdf.itertuples(index=False):
-            try:
-                rows = _walk_page(r.html, r.platform)
-                if not rows:
-                    out.append((r.page_id, r.search_id, r.platform, r.pincode, None, None, None, None, None,
-                                "no offers found"))
-                for pos, name, price, mrp, href in rows:
-                    out.append((r.page_id, r.search_id, r.platform, r.pincode, pos, name, price, mrp, href, None))
-            except Exception as e:  # noqa: BLE001 - E10: one bad page never stops the job
-                out.append((r.page_id, r.search_id, r.platform, r.pincode, None, None, None, None, None,
-                            f"{type(e).__name__}: {str(e)[:80]}"))
-        yield pd.DataFrame(out, columns=[f.name for f in WALK_SCHEMA.fields])
-
-
-def price_walk(pages: DataFrame) -> DataFrame:
-    """Run the price-walk on every page (one pandas batch per Arrow batch of pages)."""
-    return pages.select("page_id", "search_id", "platform", "pincode", "html").mapInPandas(_walk_batches, WALK_SCHEMA)
-
-
-def extract_price_walk(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """E4/E5/E7/E8 + E10: (offers, quarantine)."""
-    w = price_walk(pages)
-    offers = w.where(F.col("error").isNull()).select(
-        "page_id", "search_id", "platform", "pincode", "position", "name", "price", "mrp",
-        F.lit("").alias("brand"), F.lit("").alias("description"),
-        X.absolute_url(F.col("href"), F.coalesce(platform_attr(F.col("platform"), "host"), F.lit("")))
-        .alias("product_url"), F.lit(None).cast("int").alias("observed_mins"))
-    quarantine = w.where(F.col("error").isNotNull()).select("page_id", "search_id", "platform", "error")
-    return offers, quarantine
+def _read_pages(only: str | None):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k in range(0, len(pdf), CHUNK):
+                out = []
+                for r in pdf.iloc[k:k + CHUNK].itertuples(index=False):
+                    head = (r.page_id, r.search_id, r.platform, r.pincode)
+                    try:
+                        strategy, offers = read_page(r.html, r.platform, only)
+                        host = HOSTS.get(r.platform, "")
+                        out += [(*head, o["at"], o["name"], o["price"], o["mrp"], o["brand"], o["description"],
+                                 host + o["link"] if o["link"].startswith("/") else o["link"], o["mins"], o["pack"], strategy, None)
+                                for o in offers]
+                        error = None if offers else "no offers found"
+                    except Exception as e:  # noqa: BLE001 - E10: one bad page never stops the job
+                        error = f"{type(e).__name__}: {e}"
+                    if error:
+                        out.append((*head, *[None] * 10, error))
+                frame = pd.DataFrame(out, columns=_NAMES)
+                yield frame.astype({"search_id": "Int64", "position": "Int32", "observed_mins": "Int32"})
+    return run
+
+
+def extract(pages: DataFrame, only: str | None = None) -> DataFrame:
+    """One row per offer, or one row with ``error`` for a page without any. ``only`` restricts to one strategy."""
+    return pages.select("page_id", "search_id", "platform", "pincode", "html").mapInPandas(_read_pages(only), PAGE_SCHEMA)
+
+
+def split_quarantine(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(offers, quarantine) of ``extract``."""
+    return (rows.where(F.col("error").isNull()).select(*RAW_COLUMNS),
+            rows.where(F.col("error").isNotNull()).select("page_id", "search_id", "platform", "error"))
+
+
+NEXT_DATA = r'(?s)<script(?=[^>]*\sid="__NEXT_DATA__")[^>]*>(.*?)</script>'
 
 
 def active_only(pages: DataFrame) -> DataFrame:
@@ -323,10 +361,11 @@ def active_only(pages: DataFrame) -> DataFrame:
 
 
 def to_raw_offers(extracted: DataFrame, captured_at: Column) -> DataFrame:
-    """Extracted fields -> the raw-offer shape that ``standardise`` takes (P1 input)."""
+    """Extracted fields -> the raw-offer shape that ``standardise`` takes (P1 input). A pack text, where the shop
+    states one, gives the size (X19)."""
     return extracted.select(
         "search_id", F.col("position").alias("line_no"), F.col("page_id").alias("part_id"), "platform",
         F.col("name"), F.col("price").cast("string").alias("price_text"),
         F.when(F.col("mrp") > 0, F.col("mrp").cast("string")).otherwise(F.lit("")).alias("mrp_text"),
         "brand", "description", F.col("product_url").alias("url"), F.lit(True).alias("in_stock"),
-        "pincode", captured_at.alias("captured_at"))
+        "pincode", captured_at.alias("captured_at"), F.coalesce("pack", F.lit("")).alias("pack"))

@@ -7,14 +7,16 @@ Two scopes, as in the reference:
                  the search's highest price.
 
 Skew: one search (or one product group) may hold a large share of all offers.
-A plain ``rank().over(partitionBy(group))`` would put that whole group into one
-task. Instead rank is computed on the pre-aggregated table of distinct
-(group, order value) pairs with their row counts: rank = 1 + rows of the group
-with a strictly smaller value. A hot group contributes one row per distinct
-value, not one per offer; the offers themselves only meet that table in an
-equi-join on (group, value), which AQE either broadcasts (runtime size check)
-or splits when skewed. ``method="window"`` keeps the single-window plan for
-inputs known to be small.
+Rank = 1 + rows of the group with a smaller value, and it is found in two steps
+that never need a group in one task. Values are cut into coarse steps (a
+logarithmic scale, so a group has at most a few hundred steps in practice). The
+rows before a step come from one short list per group: its steps with their
+counts, built by partial aggregation. The rows before a value inside its step come from a window over
+the distinct values of (group, step). The offers themselves meet that table in
+an equi-join on (group, value), which the skew join splits.
+
+The offers are dealt evenly over tasks first, and both uses start from that one
+exchange, so the (regex-heavy) listing build runs once and nothing is written.
 """
 
 from __future__ import annotations
@@ -23,12 +25,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import functions as X
-from ..session import workspace
 
 SCOPES = {
     "group": (["search_id", "product_name", "size_label"], "price"),
     "search": (["search_id"], "value_score"),
 }
+#: Coarse steps per factor of e.
+STEPS = 64
+_LAST = (1 << 62) - 1
 
 
 def with_value_score(df: DataFrame) -> DataFrame:
@@ -36,54 +40,53 @@ def with_value_score(df: DataFrame) -> DataFrame:
                          X.value_score(F.col("price_per_unit"), F.col("price"), F.col("delivery_mins")))
 
 
+def coarse_step(value: Column) -> Column:
+    """A step number that never falls as the value rises; NaN and null come last."""
+    x = value.cast("double")
+    step = F.floor(F.signum(x) * F.log1p(F.abs(x)) * STEPS)
+    return (F.when(x.isNull(), F.lit(_LAST + 1)).when(F.isnan(x), F.lit(_LAST))
+             .when(F.abs(x) == float("inf"), F.when(x > 0, F.lit(_LAST - 1)).otherwise(F.lit(-_LAST)))
+             .otherwise(step))
+
+
 def rank_within(df: DataFrame, keys: list[str], order_col: str, max_col: str = "price",
-                method: str = "distinct_values", dense: bool = False,
-                materialize: bool = True) -> DataFrame:
-    """Add rank (int, SQL RANK or DENSE_RANK semantics, nulls last) and max_<max_col> per group.
-
-    ``materialize`` writes the input once as a reliable checkpoint (in the
-    shared ``spark.checkpoint.dir``) so that the distinct-value branch and the
-    join branch read the same rows instead of recomputing the upstream plan
-    (for offers: the regex-heavy listing build) twice.
-    """
+                dense: bool = False) -> DataFrame:
+    """Add rank (int, SQL RANK or DENSE_RANK semantics, nulls last) and max_<max_col> per group."""
     max_name = f"max_{max_col}"
-    if method == "window":
-        w = Window.partitionBy(*keys).orderBy(F.col(order_col).asc_nulls_last())
-        return (df.withColumn("rank", (F.dense_rank() if dense else F.rank()).over(w))
-                  .withColumn(max_name, F.max(max_col).over(Window.partitionBy(*keys))))
-    if method != "distinct_values":
-        raise ValueError(method)
-
-    if materialize:
-        workspace(df.sparkSession)  # the session's shared checkpoint folder
-        df = df.checkpoint(eager=True)
-    # 1. distinct (group, value) with counts; partial aggregation before the shuffle.
-    vc = df.groupBy(*keys, order_col).agg(F.count(F.lit(1)).alias("_n"), F.max(max_col).alias("_mx"))
-    # 2. running count of strictly smaller values; group max. One Exchange + Sort serves both.
-    w = Window.partitionBy(*keys).orderBy(F.col(order_col).asc_nulls_last())
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    names = [f"_k{i}" for i in range(len(keys))]
+    # A hash of every column: even shares, and the same exchange under both uses below.
+    rows = df.repartition(F.xxhash64(*df.columns))
+    values = (rows.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(order_col).alias("_v"))
+              .agg(F.count(F.lit(1)).alias("_n"), F.max(max_col).alias("_mx"))
+              .withColumn("_s", coarse_step(F.col("_v"))))
     # RANK counts smaller rows; DENSE_RANK counts smaller distinct values.
-    smaller = (F.count(F.lit(1)) if dense else F.sum("_n")).over(before)
-    ranked = vc.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col(order_col).alias("_k_v"),
-        (F.lit(1) + F.coalesce(smaller, F.lit(0))).cast("int").alias("rank"),
-        F.max("_mx").over(Window.partitionBy(*keys)).alias(max_name),
-    )
-    # 3. back to the offers; null-safe keys (a null size or value is a value too).
-    cond: Column = df[order_col].eqNullSafe(ranked["_k_v"])
-    for k in keys:
-        cond = cond & df[k].eqNullSafe(ranked[f"_k_{k}"])
-    out = df.join(ranked, cond, "inner")
-    return out.drop(*[f"_k_{k}" for k in keys], "_k_v")
-
-
-def score_and_rank(listings: DataFrame, scope: str = "search", method: str = "distinct_values",
-                   processed_at: Column | None = None, materialize: bool = True) -> DataFrame:
+    weight = F.lit(1).cast("long") if dense else F.col("_n")
+    in_step = Window.partitionBy(*names, "_s").orderBy(F.col("_v").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    values = values.withColumn("_w", weight)
+    values = values.withColumn("_in", F.coalesce(F.sum("_w").over(in_step), F.lit(0)))
+    steps = values.groupBy(*names, "_s").agg(F.sum("_w").alias("_w"), F.max("_mx").alias("_mx"))
+    groups = steps.groupBy(*names).agg(F.sort_array(F.collect_list(F.struct("_s", "_w"))).alias("_l"), F.max("_mx").alias("_top"))
+    before = groups.select(*names, "_top", F.inline(F.transform("_l", lambda x, i: F.struct(
+        x["_s"].alias("_s"), F.aggregate(F.slice("_l", F.lit(1), i), F.lit(0).cast("long"), lambda t, y: t + y["_w"]).alias("_b")))))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*names, "_s")]
+    ranked = values.alias("l").join(before.alias("r"), _all(same)).select(
+        *[f"l.{n}" for n in names], "l._v", (F.col("_b") + F.col("_in") + 1).cast("int").alias("rank"), F.col("_top").alias(max_name))
+    cond = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip((*keys, order_col), (*names, "_v"))]
+    return rows.join(ranked, _all(cond)).drop(*names, "_v")
+
+
+def _all(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out
+
+
+def score_and_rank(listings: DataFrame, scope: str = "search", processed_at: Column | None = None) -> DataFrame:
     """value_score, rank, max_price, savings, is_best_deal (+ processed_at when given)."""
     keys, order_col = SCOPES[scope]
     df = listings if "value_score" in listings.columns else with_value_score(listings)
-    df = rank_within(df, keys, order_col, "price", method, materialize=materialize)
+    df = rank_within(df, keys, order_col, "price")
     df = (df.withColumn("savings", X.round_half_up(F.col("max_price") - F.col("price"), 2))
             .withColumn("is_best_deal", F.col("rank") == 1))
     if processed_at is not None:

@@ -31,12 +31,13 @@ def standardise(raw: DataFrame, size_mode: str = "basic", price_rule: str = "fir
     stage = raw.select(
         *kept,
         F.col("platform"),
-        X.clip(F.col("name"), 120).alias("product_name"),
+        X.clean_text(F.col("name")).alias("product_name"),
         X.clean_price(F.col("price_text"), price_rule).alias("_price"),
         X.clean_price(F.col("mrp_text"), price_rule).alias("_mrp_in"),
-        X.clip(F.col("brand"), 60).alias("brand"),
-        X.clip(F.col("description"), 200).alias("description"),
+        X.clean_text(F.col("brand")).alias("brand"),
+        X.clean_text(F.col("description")).alias("description"),
         F.col("captured_at").alias("scraped_at"),
+        (X.clean_text(F.col("pack")) if "pack" in raw.columns else F.lit("")).alias("_pack"),
         (F.coalesce(F.col("in_stock"), F.lit(True)) if "in_stock" in raw.columns
          else F.lit(True)).alias("in_stock"),
         F.coalesce(F.col("pincode"), F.lit("")).alias("pincode"),
@@ -44,11 +45,14 @@ def standardise(raw: DataFrame, size_mode: str = "basic", price_rule: str = "fir
          if "url" in raw.columns else F.lit("")).alias("product_url"),
     ).where(F.col("_price").isNotNull() & (F.col("product_name") != ""))
 
-    stage = with_size(stage, "product_name", size_mode, "_size").withColumns({
+    # A pack text stated by the shop gives size and label; else the name does.
+    packed = F.col("_pack") != ""
+    stage = stage.withColumn("_sized", F.when(packed, F.col("_pack")).otherwise(F.col("product_name")))
+    stage = with_size(stage, "_sized", size_mode, "_size").withColumns({
         "_eff_mrp": X.effective_mrp(F.col("_price"), F.col("_mrp_in")),
         "quantity": F.col("_size.quantity"),
         "unit": F.col("_size.unit"),
-        "size_label": F.col("_size.size_label"),
+        "size_label": F.when(packed, F.col("_pack")).otherwise(F.col("_size.size_label")),
     })
     return stage.select(
         *[F.col(c) for c in keep if c in raw.columns],

@@ -1,8 +1,9 @@
 """The searches/prices store as Parquet tables.
 
-``prices`` is partitioned by search date so history queries prune by date;
-writes use dynamic partition overwrite, so re-writing a batch replaces exactly
-the partitions it touches (idempotent retries after a lost executor).
+Both tables are partitioned by (search_month, batch_id): history queries prune by
+the months of the searches they look for, and a batch is appended beside what the
+store holds. Writes use dynamic partition overwrite, so writing the same batch again
+replaces that batch and nothing else (a retry after a lost executor changes nothing).
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def price_rows(ranked: DataFrame, processed_at: Column | None = None) -> DataFra
     cols = set(ranked.columns)
 
     def get(name: str, default: Column) -> Column:
-        return F.col(name) if name in cols else default
+        return F.col(name) if name in cols else default.alias(name)
 
     out = [
         F.col("search_id"),
@@ -76,38 +77,65 @@ def search_rows(searches: DataFrame, prices: DataFrame) -> DataFrame:
                     "searched_at"))
 
 
-def write_store(prices: DataFrame, searches: DataFrame, root: str) -> tuple[str, str]:
-    """Write both tables under ``root``; prices partitioned by search date (K6)."""
+PARTITIONS = ["search_month", "batch_id"]
+_PARTITION_FIELDS = [T.StructField("search_month", T.StringType()), T.StructField("batch_id", T.StringType())]
+
+
+def _month(ts: str) -> Column:
+    return F.date_format(ts, "yyyy-MM")
+
+
+def _save(df: DataFrame, path: str) -> None:
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path))
+
+
+def create_store(spark: SparkSession, root: str, prices_schema: T.StructType) -> None:
+    """Empty tables where there are none (K6): a store can be read before its first batch."""
+    for name, schema in (("prices", prices_schema), ("searches", SEARCHES_SCHEMA)):
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{root}/{name}")
+
+
+def write_store(prices: DataFrame, searches: DataFrame, root: str, batch_id: str = "0") -> tuple[str, str]:
+    """Append one batch of searches and their prices (K4); the same batch_id replaces its earlier version.
+
+    A price belongs to the month of its search; without a search to that of its capture.
+    """
     p_path, s_path = f"{root}/prices", f"{root}/searches"
-    # Range-partition on (date, search): each task holds a contiguous run of
-    # dates, so it writes few files, and a hot date is split across tasks by
+    dates = searches.select(F.col("id").alias("search_id"), _month("searched_at").alias("search_month"))
+    dated = (prices.join(dates, "search_id", "left")
+             .withColumn("search_month", F.coalesce("search_month", _month("scraped_at"))))
+    # Range-partition on (month, search): each task holds a contiguous run of
+    # months, so it writes few files, and a hot month is split across tasks by
     # search id instead of landing in one task.
-    n = int(prices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (prices.withColumn("search_date", F.to_date("scraped_at"))
-     .repartitionByRange(n, "search_date", "search_id")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("search_date").parquet(p_path))
-    searches.write.mode("overwrite").parquet(s_path)
+    _save(dated.select(*prices.columns, "search_month", F.lit(batch_id).alias("batch_id"))
+          .repartitionByRange("search_month", "search_id"), p_path)
+    _save(searches.withColumns({"search_month": _month("searched_at"), "batch_id": F.lit(batch_id)})
+          .repartitionByRange("search_month", "id"), s_path)
     return p_path, s_path
 
 
-def read_store(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{root}/prices"), spark.read.parquet(f"{root}/searches")
+def read_store(spark: SparkSession, root: str, prices_schema: T.StructType | None = None) -> tuple[DataFrame, DataFrame]:
+    """(prices, searches) of all batches, with their partition columns."""
+    def read(name: str, schema: T.StructType | None) -> DataFrame:
+        reader = spark.read if schema is None else spark.read.schema(T.StructType([*schema.fields, *_PARTITION_FIELDS]))
+        return reader.parquet(f"{root}/{name}")
+    return read("prices", prices_schema), read("searches", SEARCHES_SCHEMA)
 
 
 def latest_prices(prices: DataFrame, searches: DataFrame, query: str, pincode: str,
                   limit: int = 200, latest_only: bool = False) -> DataFrame:
     """Stored prices of searches with this query and pincode, best first.
 
-    The filter on searches is pushed to its scan; the matching search ids are a
-    semi-join key set for prices. ``latest_only`` keeps only the most recent
+    The filter on searches is pushed to its scan; the matching (month, search id)
+    pairs are a semi-join key set for prices, whose month partitions are pruned by it. ``latest_only`` keeps only the most recent
     matching search time (the reference mixes all past searches).
     """
     s = searches.where((F.col("query") == query) & (F.col("pincode") == pincode))
     if latest_only:
         last = s.agg(F.max("searched_at").alias("_last"))
-        s = s.join(last, s.searched_at == last._last, "inner").drop("_last")
-    p = prices.join(s.select(F.col("id").alias("search_id")), "search_id", "left_semi")
+        s = s.join(last, s.searched_at == last._last, "left_semi")
+    keys = ["search_month", "search_id"] if "search_month" in prices.columns else ["search_id"]
+    p = prices.join(s.withColumnRenamed("id", "search_id").select(*keys), keys, "left_semi").drop(*PARTITIONS)
     # rank, price as stored; the remaining columns only make the order total,
     # so that the first ``limit`` rows are the same on every run.
     order = [F.col("rank").asc_nulls_last(), F.col("price").asc_nulls_last()] + [

@@ -41,7 +41,7 @@ def clean_price_q(spark, sf):
 
 def _names(spark, sf):
     """Distinct stripped offer names (size rules are a function of the name only)."""
-    return (raw_offers(spark, sf).select(X.clip(F.col("name"), 120).alias("product_name"))
+    return (raw_offers(spark, sf).select(X.clean_text(F.col("name")).alias("product_name"))
             .distinct())
 
 
@@ -163,8 +163,9 @@ def value_score_q(spark, sf):
 @query("rank_by_search", with_base("""
 SELECT search_id, line_no, part_id, platform, value_score, rank FROM ranked_search_full"""))
 def rank_by_search(spark, sf):
-    return domain.ranked(spark, sf, "search").select("search_id", "line_no", "part_id", "platform",
-                                                     "value_score", "rank")
+    # Output in rank order inside each search.
+    return (domain.ranked(spark, sf, "search").select("search_id", "line_no", "part_id", "platform", "value_score", "rank")
+            .orderBy("search_id", "rank", "line_no", "part_id"))
 
 
 @query("rank_by_group", with_base("""

@@ -28,6 +28,12 @@ def _brand_guess_sql(x: str) -> str:
     return f"(CASE WHEN length({w}) > 1 AND NOT regexp_matches({w}, '^[0-9]') THEN {w} ELSE '' END)"
 
 
+def _offers(spark, sf, *platforms, only=None):
+    pages = _pages(spark, sf).where(F.col("platform").isin(*platforms))
+    offers, _ = E.split_quarantine(E.extract(pages, only))
+    return offers.select(*OUT)
+
+
 @query("extract_cards", with_base(f"""
 , am AS (SELECT *, row_number() OVER (PARTITION BY search_id, platform {_PAGE_ORDER}) - 1 AS position
          FROM listings WHERE platform = 'Amazon Fresh'),
@@ -35,7 +41,7 @@ am2 AS (SELECT search_id, platform, position,
           CASE WHEN length(product_name) > length(brand) THEN product_name ELSE brand END AS name,
           price, CASE WHEN mrp > price THEN mrp ELSE 0.0 END AS mrp,
           CASE WHEN length(description) > 5 THEN description ELSE '' END AS description,
-          product_url, CAST(NULL AS INTEGER) AS observed_mins FROM am WHERE position < 35),
+          product_url, CAST(NULL AS INTEGER) AS observed_mins FROM am),
 am3 AS (SELECT *, {_brand_guess_sql('name')} AS brand FROM am2 WHERE length(name) >= 4),
 bl AS (SELECT *, row_number() OVER (PARTITION BY search_id, platform {_PAGE_ORDER}) - 1 AS position
        FROM listings WHERE platform = 'Blinkit'),
@@ -43,41 +49,51 @@ bl2 AS (SELECT search_id, platform, position, product_name AS name, price,
           CASE WHEN mrp > price THEN mrp ELSE 0.0 END AS mrp, '' AS brand, '' AS description, '' AS product_url,
           delivery_mins AS observed_mins FROM bl WHERE length(product_name) >= 3),
 u AS (SELECT {_OUT_SQL} FROM am3 UNION ALL SELECT {_OUT_SQL} FROM bl2)
-SELECT {_OUT_SQL} FROM (
+SELECT {_OUT_SQL.replace("position", "CAST(position AS INTEGER) AS position")} FROM (
   SELECT *, row_number() OVER (PARTITION BY search_id, platform, name ORDER BY position) AS rn FROM u)
 WHERE rn = 1""".replace("\n, am AS", ", am AS")))
 def extract_cards(spark, sf):
-    pages = E.active_only(_pages(spark, sf))
-    cards = E.extract_result_cards(pages.where(F.col("shape") == "card"))
-    flex = E.extract_flex_cards(pages.where(F.col("shape") == "flex"))
-    return cards.unionByName(flex).select(*OUT)
+    return _offers(spark, sf, "Amazon Fresh", "Blinkit")
 
 
 @query("extract_next_data", with_base(f"""
 , nd AS (SELECT *, row_number() OVER (PARTITION BY search_id, platform {_PAGE_ORDER}) - 1 AS position
-         FROM listings WHERE platform IN ('BigBasket', 'JioMart'))
+         FROM listings WHERE platform = 'BigBasket' OR (platform = 'JioMart' AND search_id % 2 = 0))
 SELECT search_id, platform, CAST(position AS INTEGER) AS position, product_name AS name, price,
-       CASE WHEN mrp > price THEN mrp ELSE 0.0 END AS mrp, brand, '' AS description, product_url,
+       CASE WHEN mrp > price AND platform = 'BigBasket' THEN mrp ELSE 0.0 END AS mrp, brand, '' AS description,
+       CASE platform WHEN 'BigBasket' THEN product_url ELSE '' END AS product_url,
        CAST(NULL AS INTEGER) AS observed_mins
-FROM nd WHERE position < 40""".replace("\n, nd AS", ", nd AS")))
+FROM nd""".replace("\n, nd AS", ", nd AS")))
 def extract_next_data(spark, sf):
-    pages = _pages(spark, sf).where(F.col("shape") == "next")
-    return E.extract_next_data(pages, depth=12).select(*OUT)
+    # Featured items and variants are arrays too; the longest outer array is the page's offers (A10).
+    return _offers(spark, sf, "BigBasket", "JioMart", only="json")
 
 
-@query("extract_price_walk", with_base(f"""
+_WALK_SQL = f"""
 , pw AS (SELECT *, row_number() OVER (PARTITION BY search_id, platform {_PAGE_ORDER}) - 1 AS card_no
-         FROM listings WHERE platform IN ('Zepto', 'Flipkart', 'Swiggy Instamart')),
+         FROM listings WHERE platform IN ('Zepto', 'Flipkart', 'Swiggy Instamart') OR (platform = 'JioMart' AND search_id % 2 = 1)),
 pw2 AS (SELECT *, row_number() OVER (PARTITION BY search_id, platform, product_name ORDER BY card_no) AS rn
-        FROM pw WHERE card_no < 30)
+        FROM pw WHERE price >= 1 OR platform = 'JioMart')"""
+
+
+@query("extract_price_walk", with_base(_WALK_SQL + """
 SELECT search_id, platform, CAST(2 * card_no AS INTEGER) AS position, product_name AS name, price,
-       CASE WHEN mrp > price THEN mrp ELSE 0.0 END AS mrp, '' AS brand, '' AS description, '' AS product_url,
+       CASE WHEN mrp > price AND platform <> 'JioMart' THEN mrp ELSE 0.0 END AS mrp, '' AS brand, '' AS description, '' AS product_url,
        CAST(NULL AS INTEGER) AS observed_mins
 FROM pw2 WHERE rn = 1""".replace("\n, pw AS", ", pw AS")))
 def extract_price_walk(spark, sf):
-    pages = _pages(spark, sf).where(F.col("shape") == "walk")
-    offers, _ = E.extract_price_walk(pages)
-    return offers.select(*OUT)
+    return _offers(spark, sf, "Zepto", "Flipkart", "Swiggy Instamart", "JioMart", only="walk")
+
+
+@query("parser_fallback", with_base("""
+SELECT search_id, platform, CASE WHEN platform = 'BigBasket' OR search_id % 2 = 0 THEN 'json' ELSE 'walk' END AS strategy,
+       CASE WHEN platform = 'BigBasket' OR search_id % 2 = 0 THEN count(*) ELSE count(DISTINCT product_name) END AS n_offers
+FROM listings WHERE platform IN ('BigBasket', 'JioMart') GROUP BY search_id, platform"""))
+def parser_fallback(spark, sf):
+    # Shops with an embedded JSON: the walk takes over on pages that come without it.
+    pages = _pages(spark, sf).where(F.col("platform").isin("BigBasket", "JioMart"))
+    offers, _ = E.split_quarantine(E.extract(pages))
+    return offers.groupBy("search_id", "platform", "strategy").agg(F.count(F.lit(1)).alias("n_offers"))
 
 
 def _platform_of_page(page_id):
@@ -95,7 +111,7 @@ def extract_quarantine(spark, sf):
     pages = driver_pages(spark, sf).select(
         "page_id", F.lit(None).cast("long").alias("search_id"), _platform_of_page(F.col("page_id")).alias("platform"),
         F.lit("").alias("pincode"), "html")
-    _, quarantine = E.extract_price_walk(pages)
+    _, quarantine = E.split_quarantine(E.extract(pages))
     return quarantine.select("page_id", "platform", "error")
 
 
@@ -179,8 +195,7 @@ def clean_product_name(spark, sf):
 SELECT search_id, line_no, part_id,
        CASE WHEN length(product_name) > length(brand) THEN product_name ELSE brand END AS title,
        {_brand_guess_sql('product_name')} AS brand_guess,
-       substring(array_to_string(list_filter([description, 'Pack ' || size_label], lambda x: length(x) > 5), ' | '), 1, 200)
-         AS description_text
+       array_to_string(list_filter([description, 'Pack ' || size_label], lambda x: length(x) > 5), ' | ') AS description_text
 FROM listings"""))
 def brand_and_bullets(spark, sf):
     lst = domain.listings(spark, sf)

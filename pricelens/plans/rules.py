@@ -124,13 +124,9 @@ def ranked_output(spark, sf):
 @query("union_platforms", with_base("""
 SELECT platform, count(*) AS n_offers, count(DISTINCT search_id) AS n_searches FROM listings GROUP BY platform"""))
 def union_platforms(spark, sf):
-    # One frame per platform, then a bag union (U1): no dedup across platforms.
-    lst = domain.listings(spark, sf)
-    parts = [lst.where(F.col("platform") == p) for p in PLATFORM_NAMES]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.groupBy("platform").agg(F.count(F.lit(1)).alias("n_offers"),
+    # The bag union of the platforms' offers (U1): no dedup across platforms, so one pass keeps every row.
+    lst = domain.listings(spark, sf).where(F.col("platform").isin(PLATFORM_NAMES))
+    return lst.groupBy("platform").agg(F.count(F.lit(1)).alias("n_offers"),
                                      F.count_distinct("search_id").alias("n_searches"))
 
 
@@ -183,19 +179,6 @@ def top_n_per_page(spark, sf):
                       F.col("position").cast("long").alias("position"))
 
 
-@query("parser_fallback", with_base("""
-, a AS (SELECT search_id, platform, line_no, part_id, 'card' AS parser FROM listings WHERE in_stock),
-b AS (SELECT search_id, platform, line_no, part_id, 'walk' AS parser FROM listings)
-SELECT * FROM a UNION ALL
-SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.search_id = b.search_id AND a.platform = b.platform)"""))
-def parser_fallback(spark, sf):
-    # Card parser = offers shown in stock; price-walk parser = every offer of the page.
-    lst = domain.listings(spark, sf).select("search_id", "platform", "line_no", "part_id", "in_stock")
-    a = lst.where("in_stock").drop("in_stock").withColumn("parser", F.lit("card"))
-    b = lst.drop("in_stock").withColumn("parser", F.lit("walk"))
-    return R.fallback_union(a, b, ["search_id", "platform"])
-
-
 @query("largest_array", with_base("""
 , c AS (SELECT l.search_id, l.platform, count(*) AS n, min(p.priority) AS pr FROM listings l
         JOIN platforms p ON p.platform = l.platform GROUP BY l.search_id, l.platform)

@@ -154,7 +154,7 @@ raw_offers AS (
   FROM offer_base
 ),
 std_a AS (
-  SELECT r.*, substring({strip_sql("coalesce(name, '')")}, 1, 120) AS product_name,
+  SELECT r.*, {strip_sql("coalesce(name, '')")} AS product_name,
          {clean_price_sql('price_text')} AS p0, {clean_price_sql('mrp_text')} AS m0
   FROM raw_offers r
 ),
@@ -173,8 +173,8 @@ std_c AS (
 ),
 listings AS (
   SELECT search_id, line_no, part_id, c.platform, product_name, {rhu('p0', 2)} AS price,
-         substring({strip_sql("coalesce(brand, '')")}, 1, 60) AS brand,
-         substring({strip_sql("coalesce(description, '')")}, 1, 200) AS description,
+         {strip_sql("coalesce(brand, '')")} AS brand,
+         {strip_sql("coalesce(description, '')")} AS description,
          'LIVE' AS source, captured_at AS scraped_at, {rhu('em', 2)} AS mrp,
          CASE WHEN em > p0 THEN {rhu('(em - p0) / em * 100.0', 1)} ELSE 0.0 END AS discount_pct,
          quantity, unit, size_label, {ppu_sql('p0', 'quantity', 'unit')} AS price_per_unit,

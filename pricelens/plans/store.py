@@ -30,21 +30,37 @@ store_searches AS (
 """
 
 _PRICE_COLS = ", ".join(S.PRICE_COLUMNS)
-_STORE_CACHE: dict = {}
 
 
 def stored(spark, sf):
-    """Write the store once per session and input, then read it back from Parquet."""
-    key = (id(spark), sf)
-    if key not in _STORE_CACHE:
-        ranked = domain.ranked(spark, sf, "group")
-        prices = S.price_rows(ranked, F.lit(PROCESSED_AT).cast("timestamp_ntz"))
-        srch = S.search_rows(searches(spark, sf), prices)
-        root = scratch_path(spark, "store")
-        S.write_store(prices, srch, root)
-        _STORE_CACHE[key] = root
-    p, s = S.read_store(spark, _STORE_CACHE[key])
-    return p.drop("search_date"), s
+    """Write the store, then read it back from Parquet."""
+    ranked = domain.ranked(spark, sf, "group")
+    prices = S.price_rows(ranked, F.lit(PROCESSED_AT).cast("timestamp_ntz"))
+    srch = S.search_rows(searches(spark, sf), prices)
+    root = scratch_path(spark, "store")
+    S.write_store(prices, srch, root)
+    return S.read_store(spark, root)
+
+
+@query("store_appends", with_base(_PRICES_SQL + """
+SELECT s.id, s.query, s.pincode, s.result_count, count(p.search_id) AS n_prices, coalesce(sum(p.rank), 0) AS sum_rank,
+       strftime(s.searched_at, '%Y-%m') AS search_month
+FROM store_searches s LEFT JOIN prices p ON p.search_id = s.id GROUP BY ALL"""))
+def store_appends(spark, sf):
+    # Two batches of searches that share days, then the second one again: nothing is lost, nothing doubled.
+    ranked = domain.ranked(spark, sf, "group")
+    prices = S.price_rows(ranked, F.lit(PROCESSED_AT).cast("timestamp_ntz"))
+    srch = searches(spark, sf)
+    root = scratch_path(spark, "store-appends")
+    for batch in ("0", "1", "1"):
+        mine = F.col("search_id") % 2 == int(batch)
+        p = prices.where(mine)
+        S.write_store(p, S.search_rows(srch.where(mine), p), root, batch)
+    p, s = S.read_store(spark, root)
+    each = p.groupBy("search_id", "search_month").agg(F.count(F.lit(1)).alias("n_prices"), F.sum("rank").alias("sum_rank"))
+    joined = s.withColumnRenamed("id", "search_id").join(each, ["search_id", "search_month"], "left")
+    return joined.select(F.col("search_id").alias("id"), "query", "pincode", "result_count", F.coalesce("n_prices", F.lit(0)).alias("n_prices"),
+                         F.coalesce("sum_rank", F.lit(0)).alias("sum_rank"), "search_month")
 
 
 @query("prices_row_defaults", with_base(f"""

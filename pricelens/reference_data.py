@@ -55,8 +55,8 @@ PLATFORMS = [
      "https://www.jiomart.com/search/{}", "%20", None, 45),
 ]
 
-# Page-parser settings per platform (fixed values from the reference parsers):
-# (platform, first-N cap per page, ancestor levels walked, minimum name length,
+# Page settings per platform (fixed values). Extraction returns every offer; the cap is the
+# feature of top_n_per_page only. (platform, first-N cap per page, ancestor levels walked, minimum name length,
 #  minimum price, minimum price inclusive, names starting with the rupee sign rejected)
 PARSER_SETTINGS = [
     ("Amazon Fresh", 35, 0, 4, 1.0, False, False),
@@ -65,7 +65,7 @@ PARSER_SETTINGS = [
     ("Zepto", 60, 12, 4, 1.0, True, True),
     ("Flipkart", 60, 10, 5, 1.0, True, False),
     ("Swiggy Instamart", 60, 10, 4, 1.0, True, False),
-    ("JioMart", 40, 8, 5, 1.0, True, False),
+    ("JioMart", 40, 8, 5, 0.0, False, False),
 ]
 
 # Location by pincode prefix (lat, lng, place description) used to set the shop
@@ -90,8 +90,22 @@ LOCATIONS = [
 ]
 DEFAULT_LOCATION = (12.9716, 77.5946, "Bangalore, Karnataka, India")
 
-# Embedded-JSON product search per platform: (platform, first-N items, walk depth).
-JSON_SETTINGS = [("BigBasket", 40, 12), ("Zepto", 50, 14), ("JioMart", 40, 12)]
+# One shop knows fewer prefixes and names the city only (fixed values).
+INSTAMART_LOCATIONS = [
+    ("560", 12.9716, 77.5946, "Bangalore"),
+    ("562", 12.9716, 77.5946, "Bangalore"),
+    ("110", 28.6139, 77.2090, "New Delhi"),
+    ("122", 28.4595, 77.0266, "Gurugram"),
+    ("201", 28.5355, 77.3910, "Noida"),
+    ("400", 19.0760, 72.8777, "Mumbai"),
+    ("401", 19.0760, 72.8777, "Mumbai"),
+    ("411", 18.5204, 73.8567, "Pune"),
+    ("500", 17.3850, 78.4867, "Hyderabad"),
+    ("600", 13.0827, 80.2707, "Chennai"),
+    ("700", 22.5726, 88.3639, "Kolkata"),
+    ("380", 23.0225, 72.5714, "Ahmedabad"),
+]
+INSTAMART_DEFAULT = (12.9716, 77.5946, "Bangalore")
 
 # ---------------------------------------------------------------------------
 # Fixture mapping constants (ours): how driver tables become domain tables.

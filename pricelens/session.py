@@ -6,7 +6,6 @@ module builds one, and only for local runs.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -19,9 +18,8 @@ SCALE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Listing rules are CPU-heavy per row (regex); keep post-shuffle tasks
-    # small enough that every core gets work after AQE coalescing.
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    # Checkpoint files go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
@@ -29,7 +27,7 @@ SCALE_CONF = {
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
-                  app: str = "pricelens") -> SparkSession:
+                  app: str = "pricelens", scan_tasks: int | None = None) -> SparkSession:
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
     for k, v in SCALE_CONF.items():
         builder = builder.config(k, v)
@@ -38,6 +36,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
                .config("spark.driver.memory", "8g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if scan_tasks:
+        spark.conf.set("pricelens.scanTasks", str(scan_tasks))
     workspace(spark)
     return spark
 
@@ -63,7 +63,4 @@ def workspace(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path under the workspace for one written table or stream."""
     base = workspace(spark).rstrip("/")
-    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
-    if "://" not in path or path.startswith("file:"):
-        os.makedirs(path.replace("file:", "", 1), exist_ok=True)
-    return path
+    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"

@@ -34,13 +34,13 @@ def delivery_minutes(pincode: Column, platform: Column) -> Column:
     return F.coalesce(city, tier2, F.lit(DEFAULT_MINS)).cast("int")
 
 
-def location_of(pincode: Column) -> Column:
-    """struct(lat, lng, place) by pincode prefix, else the default location."""
+def location_of(pincode: Column, table=LOCATIONS, default_row=DEFAULT_LOCATION) -> Column:
+    """struct(lat, lng, place) by pincode prefix, else the default location (J5); ``table`` is a shop's own list."""
     m = F.create_map(*chain.from_iterable(
         (F.lit(p), F.struct(F.lit(lat).alias("lat"), F.lit(lng).alias("lng"), F.lit(d).alias("place")))
-        for p, lat, lng, d in LOCATIONS))
-    default = F.struct(F.lit(DEFAULT_LOCATION[0]).alias("lat"), F.lit(DEFAULT_LOCATION[1]).alias("lng"),
-                       F.lit(DEFAULT_LOCATION[2]).alias("place"))
+        for p, lat, lng, d in table))
+    default = F.struct(F.lit(default_row[0]).alias("lat"), F.lit(default_row[1]).alias("lng"),
+                       F.lit(default_row[2]).alias("place"))
     return F.coalesce(F.try_element_at(m, F.substring(F.coalesce(pincode, F.lit("")), 1, 3)), default)
 
 

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from .tables import table
 
 # Page shape per platform (ours): card = result cards, flex = flex cards with
-# an ETA line, next = embedded __NEXT_DATA__ JSON, walk = plain markup.
+# an ETA line, next = embedded __NEXT_DATA__ JSON, walk and titled = plain markup.
+# Every second page of JioMart comes without its JSON, so that the fallback has work.
 PAGE_SHAPE = {"Amazon Fresh": "card", "Blinkit": "flex", "BigBasket": "next", "JioMart": "next",
-              "Zepto": "walk", "Flipkart": "walk", "Swiggy Instamart": "walk"}
+              "Zepto": "walk", "Flipkart": "titled", "Swiggy Instamart": "walk"}
 
 
 def amount_text(x: Column) -> Column:
@@ -41,11 +42,14 @@ def _card_html(shape: Column) -> Column:
         mins, F.lit(' mins</div><div class="name">'), name, F.lit('</div><div class="tw-flex tw-items-center tw-justify-between">₹'), price,
         F.lit(' ₹'), mrp, F.lit(' ADD</div></div></div>'))
     item = F.concat(F.lit('{"name":"'), name, F.lit('","price":'), price, F.lit(',"mrp":'), mrp,
-                    F.lit(',"brand":{"name":"'), F.col("brand"), F.lit('"},"url":"'), url, F.lit('"}'))
+                    F.lit(',"brand":{"name":"'), F.col("brand"), F.lit('"},"url":"'), url,
+                    F.lit('","variants":[{"name":"v1","price":1},{"name":"v2","price":2},{"name":"v3","price":3}]}'))
     walk = F.concat(F.lit('<div class="item"><h3 class="product-title">'), name,
                     F.lit('</h3><div><span>₹'), price, F.lit('</span><span class="strike">₹'), mrp,
                     F.lit('</span></div></div>'))
-    return (F.when(shape == "card", card).when(shape == "flex", flex).when(shape == "next", item)
+    titled = F.concat(F.lit('<div class="item"><a class="x" title="'), name, F.lit('">link text</a><div><span>₹'), price,
+                      F.lit('</span><span class="y dattD_">₹'), mrp, F.lit('</span></div></div>'))
+    return (F.when(shape == "titled", titled).when(shape == "card", card).when(shape == "flex", flex).when(shape == "next", item)
              .otherwise(walk))
 
 
@@ -53,6 +57,7 @@ def render_pages(listings: DataFrame) -> DataFrame:
     """pages(page_id, search_id, platform, query, pincode, html) from listings."""
     shape = F.element_at(F.create_map(*[x for k, v in PAGE_SHAPE.items() for x in (F.lit(k), F.lit(v))]),
                          F.col("platform"))
+    shape = F.when((F.col("platform") == "JioMart") & (F.col("search_id") % 2 == 1), F.lit("walk")).otherwise(shape)
     cards = listings.select("search_id", "platform", "pincode", "line_no", "part_id", "price", "mrp",
                             shape.alias("shape"), _card_html(shape).alias("frag"))
     pages = cards.groupBy("search_id", "platform", "pincode", "shape").agg(
@@ -61,7 +66,7 @@ def render_pages(listings: DataFrame) -> DataFrame:
     html = (F.when(F.col("shape") == "next",
                    F.concat(F.lit('<html><body><div id="app"></div><script id="__NEXT_DATA__" '
                                   'type="application/json">{"props":{"pageProps":{"banner":[{"img":"b.png"}],'
-                                  '"listing":{"products":['),
+                                  '"listing":{"featured":['), F.col("cards")[0]["frag"], F.lit('],"products":['),
                             F.array_join(F.transform("cards", lambda c: c["frag"]), ","),
                             F.lit(']}}}}</script></body></html>')))
             .otherwise(F.concat(F.lit("<html><body>"), body, F.lit("</body></html>"))))

@@ -21,16 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that has fewer splits than the cluster has cores.
+#: Session setting: deal a scan of offers over so many tasks. Unset (the default) a scan is read as
+#: it is stored; a local run over one large row group sets it, because the offer rules cost more than a shuffle.
+SCAN_TASKS = "pricelens.scanTasks"
 
-    The offer rules are CPU-heavy per row (regex). A large table has far more
-    splits than cores and is left alone (no extra shuffle); a table stored as
-    one big row group (as in small test sets) would otherwise be processed by
-    a single task.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+def dealt(df: DataFrame) -> DataFrame:
+    tasks = df.sparkSession.conf.get(SCAN_TASKS, None)
+    return df.repartition(int(tasks)) if tasks else df
 
 
 def _pick(values: list[str], index: Column) -> Column:
@@ -85,7 +83,7 @@ def raw_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     Columns: search_id, line_no, part_id, platform, name, price_text, mrp_text,
     brand, description, url, in_stock, pincode, captured_at.
     """
-    li = spread(table(spark, sf_dir, "lineitem").select(
+    li = dealt(table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_linestatus", "l_shipdate"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")

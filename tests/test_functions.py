@@ -120,8 +120,10 @@ def test_unit_label(spark):
 
 
 def test_strip_and_clip_handle_tabs(spark):
-    assert _one(spark, "\t  Milk 1 L \n", X.clip(F.col("s"), 120)) == "Milk 1 L"
-    assert _one(spark, "x" * 300, X.clip(F.col("s"), 120)) == "x" * 120
+    assert _one(spark, "\t  Milk 1 L \n", X.clean_text(F.col("s"))) == "Milk 1 L"
+    assert _one(spark, "x" * 300, X.clean_text(F.col("s"))) == "x" * 300
+    assert _one(spark, "x" * 300, X.clean_text(F.col("s"), 120)) == "x" * 120
+    assert _one(spark, "\u00a0Milk\u3000", X.clean_text(F.col("s"))) == "Milk"
 
 
 def test_card_text_rules(spark):

@@ -1,9 +1,11 @@
 """Delivery lookups (J2-J4), ranking scopes and their properties."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pricelens.operators.delivery import stamp_delivery
-from pricelens.operators.ranking import score_and_rank
+from pricelens.functions import round_half_up
+from pricelens.operators.ranking import SCOPES, coarse_step, rank_within, score_and_rank, with_value_score
 from pricelens.plans import domain
 from pricelens.sources.lookups import city_of, delivery_minutes
 
@@ -36,18 +38,22 @@ def _offers(spark):
 
 
 def test_rank_ties_and_nulls_last(spark):
-    for method in ("distinct_values", "window"):
-        r = score_and_rank(_offers(spark), "group", method).where("search_id = 1 AND product_name = 'milk'")
-        got = sorted((row.price is None, row.price or 0, row.rank) for row in r.collect())
-        assert got == [(False, 40.0, 1), (False, 40.0, 1), (False, 50.0, 3), (True, 0, 4)]
+    r = score_and_rank(_offers(spark), "group").where("search_id = 1 AND product_name = 'milk'")
+    got = sorted((row.price is None, row.price or 0, row.rank) for row in r.collect())
+    assert got == [(False, 40.0, 1), (False, 40.0, 1), (False, 50.0, 3), (True, 0, 4)]
 
 
-def test_rank_methods_agree_and_properties(spark):
+def test_rank_equals_the_plain_window_and_properties(spark):
     lst = domain.listings(spark, SF_SMALL)
     cols = ["search_id", "line_no", "part_id", "platform", "price", "rank", "max_price", "savings", "is_best_deal"]
     for scope in ("group", "search"):
-        a = score_and_rank(lst, scope, "distinct_values").select(*cols)
-        b = score_and_rank(lst, scope, "window").select(*cols)
+        a = score_and_rank(lst, scope).select(*cols)
+        keys, order = SCOPES[scope]
+        w = Window.partitionBy(*keys)
+        b = (with_value_score(lst).withColumn("rank", F.rank().over(w.orderBy(F.col(order).asc_nulls_last())))
+             .withColumn("max_price", F.max("price").over(w))
+             .withColumn("savings", round_half_up(F.col("max_price") - F.col("price"), 2))
+             .withColumn("is_best_deal", F.col("rank") == 1).select(*cols))
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
         assert a.where("savings < 0").count() == 0
         assert a.where("is_best_deal <> (rank = 1)").count() == 0
@@ -60,3 +66,19 @@ def test_rank_unchanged_under_repartitioning(spark):
     a = score_and_rank(lst, "search").select("search_id", "line_no", "part_id", "rank")
     b = score_and_rank(lst.repartition(7, "platform"), "search").select("search_id", "line_no", "part_id", "rank")
     assert a.exceptAll(b).count() == 0
+
+
+def test_coarse_steps_never_fall(spark):
+    values = [float("-inf"), -1e300, -5.0, -0.1, 0.0, 1e-9, 0.5, 1.0, 1.0001, 3.0, 1e6, 1e300, float("inf"), float("nan"), None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    steps = [r.s for r in df.select("i", coarse_step(F.col("v")).alias("s")).orderBy("i").collect()]
+    assert steps == sorted(steps) and len(set(steps[-3:])) == 3
+
+
+def test_one_hot_search_is_spread(spark):
+    hot = spark.range(40001).select(F.when(F.col("id") < 40000, 1).otherwise(2).alias("search_id"), (F.rand(3) * 500 + 1).alias("value_score"), F.col("id").cast("double").alias("price"))
+    ranked = rank_within(hot, ["search_id"], "value_score")
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.split("\n") if "windowspecdefinition" in line]
+    assert windows and all("_s#" in line for line in windows)
+    assert ranked.where("search_id = 1").select(F.max("rank"), F.count_distinct("rank"), F.max("max_price")).first() == (40000, 40000, 39999.0)

@@ -27,20 +27,39 @@ def test_store_write_read_and_queries(spark):
     S.write_store(prices, srch, root)
     p, s = S.read_store(spark, root)
     assert p.count() == prices.count()
-    stats = S.store_stats(p.drop("search_date"), s).first()
+    stats = S.store_stats(p, s).first()
     assert stats.total_prices == prices.count() and stats.db_size_kb > 0
     hist = S.search_history(s, 20).collect()
     assert len(hist) == 20 and [h.id for h in hist] == sorted([h.id for h in hist], reverse=True)
-    top = S.latest_prices(p, s, "1-URGENT", "400001", 5).collect()
+    latest = S.latest_prices(p, s, "1-URGENT", "400001", 5)
+    assert "dynamicpruning" in latest._jdf.queryExecution().executedPlan().toString()
+    top = latest.collect()
     assert len(top) <= 5 and all(t.rank == 1 for t in top[:1])
     # rewriting is idempotent (dynamic partition overwrite)
     S.write_store(prices, srch, root)
     assert spark.read.parquet(f"{root}/prices").count() == prices.count()
 
 
+def test_two_searches_of_one_day_are_both_kept(spark):
+    at = "2024-05-01 10:00:00"
+    searches = spark.createDataFrame([(1, "tea", "400001", 1, at), (2, "rice", "400001", 1, at)],
+                                     "id long, query string, pincode string, result_count long, at string").select(
+        "id", "query", "pincode", "result_count", F.col("at").cast("timestamp_ntz").alias("searched_at"))
+    prices = S.price_rows(spark.createDataFrame([(1, "Blinkit", 2.0), (2, "Zepto", 3.0)], "search_id long, platform string, price double"),
+                          F.lit(at).cast("timestamp_ntz"))
+    root = scratch_path(spark, "store-two")
+    S.create_store(spark, root, prices.schema)
+    assert S.read_store(spark, root, prices.schema)[0].count() == 0
+    for k in (1, 2, 2):  # the second batch is saved twice
+        S.write_store(prices.where(F.col("search_id") == k), searches.where(F.col("id") == k), root, f"b{k}")
+    p, s = S.read_store(spark, root, prices.schema)
+    assert sorted(r.price for r in p.collect()) == [2.0, 3.0] and sorted(r.id for r in s.collect()) == [1, 2]
+    assert [r.price for r in S.latest_prices(p, s, "rice", "400001").collect()] == [3.0]
+
+
 def test_number_within_is_consecutive(spark):
     df = spark.range(0, 5000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7 % 5000).alias("k"))
-    n = number_within(df, "g", ["k"], out="seq", num_partitions=6)
+    n = number_within(df, "g", ["k"], out="seq")
     agg = n.groupBy("g").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"),
                             F.count_distinct("seq").alias("d"), F.count(F.lit(1)).alias("c")).collect()
     for r in agg:
@@ -71,6 +90,8 @@ def test_topic_roundtrip_identity_and_replay(spark):
 
 def test_malformed_messages_quarantined(spark):
     from pyspark.sql import types as T
-    msgs = spark.createDataFrame([(bytearray(b'{"a": 1}'),), (bytearray(b"not json"),)], "value binary")
+    texts = ['{"a": 1}', '{"b": 2}', "not json", '{"a": 1, "b"', '{"a":"zz"}', "[1]", "", None]
+    msgs = spark.createDataFrame([(None if t is None else bytearray(t.encode()),) for t in texts], "value binary")
     good, bad = B.decode(msgs, T.StructType([T.StructField("a", T.IntegerType())]))
-    assert good.count() == 1 and bad.count() == 1
+    assert sorted((r.a is None, r.a) for r in good.collect()) == [(False, 1), (True, None)]
+    assert bad.count() == 6
