@@ -30,6 +30,11 @@ DOZEN_PATTERN = r"(?i)" + NOT_WORD_BEFORE + f"([0-9]+){WS}*dozens?" + NOT_WORD_A
 PACK_OF_PATTERN = f"(?i)pack{WS}+of{WS}+([0-9]+)"
 
 
+# (pattern, group) in the order of the rules: multipack, half, half dozen, dozen, measure, pack, count.
+EXTENDED_RULES = [(MULTI_PATTERN, 0), (HALF_PATTERN, 0), (HALF_DOZEN_PATTERN, 0), (DOZEN_PATTERN, 1),
+                  (SIZE_PATTERN, 0), (PACK_OF_PATTERN, 1), (COUNT_PATTERN, 1)]
+
+
 def canonical_unit(raw: Column) -> Column:
     """kg / g / l / ml from the matched unit word."""
     u = F.lower(raw)
@@ -80,35 +85,7 @@ def extract_size_extended(name: Column) -> Column:
     ``N dozen``, plain weight/volume, ``pack of N``, count words, else 1 pc.
     Result struct(quantity string, unit string, size_label string).
     """
-    m_n = F.regexp_extract(name, MULTI_PATTERN, 1)
-    m_q = F.regexp_extract(name, MULTI_PATTERN, 2)
-    m_u = canonical_unit(F.regexp_extract(name, MULTI_PATTERN, 3))
-    h_u = canonical_unit(F.regexp_extract(name, HALF_PATTERN, 1))
-    has_half = F.regexp_extract(name, HALF_PATTERN, 0) != ""
-    has_half_dozen = F.regexp_extract(name, HALF_DOZEN_PATTERN, 0) != ""
-    dz = F.regexp_extract(name, DOZEN_PATTERN, 1)
-    s_q = F.regexp_extract(name, SIZE_PATTERN, 1)
-    s_u = canonical_unit(F.regexp_extract(name, SIZE_PATTERN, 2))
-    pk = F.regexp_extract(name, PACK_OF_PATTERN, 1)
-    cnt = F.regexp_extract(name, COUNT_PATTERN, 1)
-
-    def measured(q: Column, unit: Column) -> Column:
-        b = _to_base(q, unit)
-        txt = _number_text(b["q"])
-        return _size_struct(txt, b["u"], F.concat(txt, b["u"]))
-
-    def counted(n: Column) -> Column:
-        txt = _number_text(n)
-        return _size_struct(txt, F.lit("pcs"), F.concat(txt, F.lit(" pcs")))
-
-    return (F.when(m_n != "", measured(m_n.cast("double") * m_q.cast("double"), m_u))
-             .when(has_half, measured(F.lit(0.5), h_u))
-             .when(has_half_dozen, counted(F.lit(6.0)))
-             .when(dz != "", counted(dz.cast("double") * F.lit(12.0)))
-             .when(s_q != "", measured(s_q.cast("double"), s_u))
-             .when(pk != "", counted(pk.cast("double")))
-             .when(cnt != "", counted(cnt.cast("double")))
-             .otherwise(_size_struct(F.lit("1"), F.lit("pcs"), F.lit(""))))
+    return _extended_from(*(F.regexp_extract(name, pattern, group) for pattern, group in EXTENDED_RULES))
 
 
 # ---------------------------------------------------------------------------
@@ -119,7 +96,6 @@ def extract_size_extended(name: Column) -> Column:
 
 def with_size(df, name_col: str, mode: str = "basic", out: str = "_size"):
     """Add struct column ``out`` (quantity, unit, size_label) computed from ``name_col``."""
-    from pyspark.sql import DataFrame  # noqa: F401
     name = F.col(name_col)
     if mode == "basic":
         staged = df.withColumns({
@@ -136,18 +112,9 @@ def with_size(df, name_col: str, mode: str = "basic", out: str = "_size"):
         return staged.withColumn(out, built).drop("_sz_m", "_sz_c", "_sz_q", "_sz_u")
     if mode != "extended":
         raise ValueError(mode)
-    staged = df.withColumns({
-        "_x_m": F.regexp_extract(name, MULTI_PATTERN, 0),
-        "_x_h": F.regexp_extract(name, HALF_PATTERN, 0),
-        "_x_hd": F.regexp_extract(name, HALF_DOZEN_PATTERN, 0),
-        "_x_dz": F.regexp_extract(name, DOZEN_PATTERN, 1),
-        "_x_s": F.regexp_extract(name, SIZE_PATTERN, 0),
-        "_x_pk": F.regexp_extract(name, PACK_OF_PATTERN, 1),
-        "_x_c": F.regexp_extract(name, COUNT_PATTERN, 1),
-    })
-    ext = _extended_from(F.col("_x_m"), F.col("_x_h"), F.col("_x_hd"), F.col("_x_dz"),
-                         F.col("_x_s"), F.col("_x_pk"), F.col("_x_c"))
-    return staged.withColumn(out, ext).drop("_x_m", "_x_h", "_x_hd", "_x_dz", "_x_s", "_x_pk", "_x_c")
+    staged = df.withColumns({f"_x{k}": F.regexp_extract(name, pattern, group) for k, (pattern, group) in enumerate(EXTENDED_RULES)})
+    parts = [f"_x{k}" for k in range(len(EXTENDED_RULES))]
+    return staged.withColumn(out, _extended_from(*map(F.col, parts))).drop(*parts)
 
 
 def _extended_from(m: Column, h: Column, hd: Column, dz: Column, s: Column, pk: Column,

@@ -196,12 +196,12 @@ def days_since_drop(snap: DataFrame) -> DataFrame:
     """Days since the last price drop and whether tomorrow's price drops."""
     w = Window.partitionBy("product_id", "platform").orderBy("day")
     prev = F.lag("last_price").over(w)
-    d = snap.select("product_id", "platform", "day", "last_price",
+    d = snap.select("product_id", "platform", "day", "last_price", "max_price",
                     F.when(F.col("last_price") < prev, F.col("day")).alias("_drop_day"),
                     F.lead("last_price").over(w).alias("_next"))
     last_drop = F.last("_drop_day", ignorenulls=True).over(
         w.rowsBetween(Window.unboundedPreceding, 0))
-    return d.select("product_id", "platform", "day", "last_price",
+    return d.select("product_id", "platform", "day", "last_price", "max_price",
                     F.datediff(F.col("day"), last_drop).alias("days_since_drop"),
                     F.when(F.col("_next").isNull(), F.lit(None).cast("int"))
                      .when(F.col("_next") < F.col("last_price"), F.lit(1)).otherwise(F.lit(0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.lookups import city_of, delivery_minutes
+from ..sources.lookups import delivery_minutes
 
 
 def stamp_delivery(listings: DataFrame, prefer_observed: bool = False) -> DataFrame:
@@ -18,7 +18,3 @@ def stamp_delivery(listings: DataFrame, prefer_observed: bool = False) -> DataFr
     new = F.coalesce(F.col("delivery_mins"), est) if prefer_observed else est
     return listings.withColumn("delivery_mins", new)
 
-
-def with_city(df: DataFrame, pincode_col: str = "pincode") -> DataFrame:
-    """Add city (null for unknown prefixes)."""
-    return df.withColumn("city", city_of(F.col(pincode_col)))

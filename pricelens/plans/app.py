@@ -15,10 +15,6 @@ from .registry import query
 from .sql_common import rhu, with_base
 
 
-def _q(cols: str) -> str:
-    return cols
-
-
 @query("cheapest_in_stock", with_base("""
 SELECT search_id, platform, product_name, price, line_no, part_id FROM (
   SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY coalesce(price, 9999.0), product_name,

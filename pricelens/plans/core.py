@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import functions as X
 from ..operators.ranking import best_deals
 from ..sources import raw_offers, searches
-from ..reference_data import DEFAULT_LOCATION, LOCATIONS, PLATFORMS
+from ..reference_data import DEFAULT_LOCATION, INSTAMART_DEFAULT, INSTAMART_LOCATIONS, LOCATIONS, PLATFORMS
 from ..sources.lookups import city_of, delivery_minutes, location_of, platform_attr
 from . import domain
 from .registry import query
@@ -269,3 +269,15 @@ def search_locations(spark, sf):
     loc = location_of(F.col("pincode"))
     return searches(spark, sf).select("search_id", "pincode", loc["lat"].alias("lat"), loc["lng"].alias("lng"),
                                       loc["place"].alias("place"))
+
+
+@query("shop_locations", with_base("""
+SELECT search_id, pincode, CASE substring(pincode, 1, 3)
+    WHEN '110' THEN 'New Delhi' WHEN '122' THEN 'Gurugram' WHEN '201' THEN 'Noida' WHEN '400' THEN 'Mumbai' WHEN '401' THEN 'Mumbai'
+    WHEN '411' THEN 'Pune' WHEN '500' THEN 'Hyderabad' WHEN '600' THEN 'Chennai' WHEN '700' THEN 'Kolkata' WHEN '380' THEN 'Ahmedabad'
+    ELSE 'Bangalore' END AS place
+FROM searches"""))
+def shop_locations(spark, sf):
+    # The shop with its own, shorter list; its oracle states the cities apart from the code's table.
+    loc = location_of(F.col("pincode"), INSTAMART_LOCATIONS, INSTAMART_DEFAULT)
+    return searches(spark, sf).select("search_id", "pincode", loc["place"].alias("place"))

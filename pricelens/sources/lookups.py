@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..reference_data import (CITY_DELIVERY, DEFAULT_LOCATION, DEFAULT_MINS, LOCATIONS, PLATFORMS, TIER2,
+from ..reference_data import (DEFAULT_LOCATION, DEFAULT_MINS, LOCATIONS, PLATFORMS, TIER2,
                               city_delivery_rows, city_rows)
 
 
@@ -66,15 +66,3 @@ def platforms_df(spark: SparkSession) -> DataFrame:
     """The 7-row platform dimension."""
     return spark.createDataFrame([tuple(p) for p in PLATFORMS], PLATFORM_SCHEMA)
 
-
-def city_delivery_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(city_delivery_rows(),
-                                 "prefix string, city string, platform string, mins int")
-
-
-def tier2_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TIER2, "platform string, mins int")
-
-
-def known_prefixes() -> list[str]:
-    return [p for p, _, _ in CITY_DELIVERY]
