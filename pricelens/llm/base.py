@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -40,6 +41,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver drop what nothing refers to any more, so that Spark's cleaner deletes its shuffle files.
+
+    Spark asks for this itself every half hour (spark.cleaner.periodicGC.interval); a step that has just
+    written a large shuffle down to a small table asks at once.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_docs(docs: DataFrame, *more: str) -> DataFrame:
     """(doc_id, text[, more]): only the columns an operator reads, so other columns may have any name."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *more)
