@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .base import text_docs
 from .scan import slices
-from .tokens import default_path, token_ids
+from .tokens import SLICE, default_path, token_ids
 
 LENGTH, END_ID = 1024, 2
 OPEN_BINS = 8192
@@ -44,7 +44,7 @@ def piece_bounds(n: int, length: int) -> list[int]:
 
 def _pieces(path: str, end: int, length: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE):
             rows: list[list] = [[], [], [], [], [], []]
             for doc, ids in zip(batch.column("doc_id").to_pylist(), token_ids(batch.column("text"), path, end), strict=True):
                 cuts = piece_bounds(len(ids), length)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .base import stored, text_docs
 from .scan import slices
-from .tokens import IDS, default_path, token_ids
+from .tokens import IDS, SLICE, default_path, token_ids
 
 END_ID = 0
 #: A segment closes after this many ids (with the document that reaches it).
@@ -103,7 +103,7 @@ def _write(path: str, end: int, segment_ids: int):
         docs: list = []
         held: list[np.ndarray] = []
         size = before = 0
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE):
             for doc, ids in zip(batch.column("doc_id").to_pylist(), token_ids(batch.column("text"), path, end), strict=True):
                 docs.append(doc)
                 held.append(ids.astype(f"<u{width}"))
