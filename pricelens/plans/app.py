@@ -203,7 +203,7 @@ SELECT product_id, platform, day, last_price,
   CASE WHEN nxt IS NULL THEN NULL WHEN nxt < last_price THEN 1 ELSE 0 END AS drops_next
 FROM d""")
 def days_since_drop(spark, sf):
-    return A.days_since_drop(A.daily_snapshot(price_ticks(spark, sf)))
+    return A.days_since_drop(A.daily_snapshot(price_ticks(spark, sf))).drop("max_price")
 
 
 @query("anomaly_2sigma", f"""WITH {_TICKS},
