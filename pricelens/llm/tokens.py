@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Pieces that a worker keeps; about 250 bytes each.
-CACHE = 300_000
+CACHE = 450_000
 #: Bytes of text that are split into pieces at a time; each piece is an object while it is.
 SLICE = 1 << 21
 IDS = np.dtype("<u4")
