@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import held_out, text_docs
-from .scan import _classes, buffers, mix, slices, word_bounds
+from .scan import BLOCK, _classes, buffers, slices, word_bounds
 
 BITS = 16
 #: log10 cost of a change of language between two words; log10 cost of a language that does not use the word's script.
@@ -48,6 +48,8 @@ SCRIPT = np.zeros(256, dtype=np.int64)
 for _first, _after, _number in SCRIPT_RANGES:
     SCRIPT[_first:_after] = _number
 N_SCRIPTS = 12
+#: Bytes of text that are judged side by side; about 50 bytes of arrays each.
+SLICE = 2 * BLOCK
 
 
 def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -60,24 +62,24 @@ def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     starts, ends = word_bounds(data, offsets, word)
     first = np.zeros(len(data) + 1, dtype=bool)
     first[starts] = True
-    value = np.zeros(len(data) + 1, dtype=np.uint64)
-    value[:-1] = np.where(word[data], data, 0)
-    back1 = np.zeros_like(value)
-    back1[1:] = value[:-1]
-    back2 = np.zeros_like(value)
-    back2[2:] = value[:-2]
-    back1[first] = 0
-    back2[first] = 0
+    code = np.zeros(len(data) + 1, dtype=np.uint32)
+    code[:-1] = np.where(word[data], data, 0)
+    value = code.astype(np.uint8)
     second = np.zeros_like(first)
     second[1:] = first[:-1]
-    back2[second] = 0
-    places = (mix(back2 << np.uint64(16) | back1 << np.uint64(8) | value) >> np.uint64(64 - BITS)).astype(np.int64)
+    code[1:] |= np.where(first[1:], 0, value[:-1]).astype(np.uint32) << np.uint32(8)
+    code[2:] |= np.where(first[2:] | second[2:], 0, value[:-2]).astype(np.uint32) << np.uint32(16)
+    code ^= code >> np.uint32(11)
+    code *= np.uint32(0x9E3779B1)
+    code ^= code >> np.uint32(15)
+    code *= np.uint32(0x85EBCA77)
+    places = (code >> np.uint32(32 - BITS)).astype(np.int32)
     return places, starts, ends, SCRIPT[data[starts]] if len(starts) else np.zeros(0, dtype=np.int64), np.searchsorted(starts, offsets)
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tables: dict[str, np.ndarray] = {}
-    for batch in slices(batches):
+    for batch in slices(batches, size=SLICE):
         places, starts, ends, scripts, at = _features(batch.column("text"))
         inside = np.zeros(len(places) + 1, dtype=np.int64)
         np.add.at(inside, starts, 1)
@@ -223,7 +225,7 @@ def predict(docs: DataFrame, model: Model | None, lang: str = "lang_pred", score
     schema = ", ".join(f"{c} {t}" for c, (_, t) in zip(inner, docs.dtypes, strict=True)) + f", lang string, score double, spans {_SPANS_TYPE}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, inner[text]):
+        for batch in slices(batches, inner[text], SLICE):
             yield pa.RecordBatch.from_arrays([*batch.columns, *_judged(batch.column(text), model)], [*inner, "lang", "score", "spans"])
 
     return docs.toDF(*inner).mapInArrow(run, schema).toDF(*docs.columns, lang, score, spans)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .base import text_docs
 from .scan import slices
-from .tokens import SLICE, default_path, token_ids
+from .tokens import SLICE, default_path, encoder, token_ids
 
 LENGTH, END_ID = 1024, 2
 OPEN_BINS = 8192
@@ -58,6 +58,7 @@ def _pieces(path: str, end: int, length: int, with_ids: bool):
                 arrays.append(pa.array([x.astype(np.int32) for x in rows[5]], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names)
+        encoder(path).forget()
     return run
 
 

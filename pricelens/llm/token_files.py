@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .base import stored, text_docs
 from .scan import slices
-from .tokens import IDS, SLICE, default_path, token_ids
+from .tokens import IDS, SLICE, default_path, encoder, token_ids
 
 END_ID = 0
 #: A segment closes after this many ids (with the document that reaches it).
@@ -111,6 +111,7 @@ def _write(path: str, end: int, segment_ids: int):
                 if size >= segment_ids:
                     yield _segment(before, docs, held, width)
                     docs, held, size, before = [], [], 0, before + size
+        encoder(path).forget()
         if docs:
             yield _segment(before, docs, held, width)
     return run

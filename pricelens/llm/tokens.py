@@ -2,7 +2,7 @@
 
 The tokenizer never merges across the start of a space that follows and
 precedes other characters, so a text is the concatenation of its pieces there.
-Pieces repeat; each worker keeps the ids of those it has met (at most
+Pieces repeat; each worker keeps the ids of those it has met in a task (at most
 ``CACHE`` of them, then it starts anew). Texts with other white space around
 a space are encoded whole.
 """
@@ -67,8 +67,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
         if len(self.first) + len(self.after) > CACHE:
-            self.first.clear()
-            self.after.clear()
+            self.forget()
         self._learn(self.first, {s[0] for s in split}, False)
         rest: set[str] = set()
         for s in split:
@@ -88,6 +87,12 @@ class Encoder:
         return out
 
 
+    def forget(self) -> None:
+        """Give the pieces' memory back; a worker may go on to tasks of another kind."""
+        self.first.clear()
+        self.after.clear()
+
+
 @lru_cache(None)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
