@@ -20,3 +20,21 @@ def test_headers_files_and_inheritance(spark):
 
 def test_empty_table(spark):
     assert S.scan_files(frame(spark, [], FILES)).count() == 0
+
+
+def test_whole_licence_texts_are_licence_files_and_wrapped_notices_are_headers(spark):
+    texts = dict(S.licence_texts())
+    assert {"Apache-2.0", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MIT", "MPL-2.0"} <= texts.keys()
+    names = sorted(texts)
+    rows = [(k, f"p{k}/LICENSE", f"Copyright (c) 2019 Some One\n\n{texts[name]}") for k, name in enumerate(names)]
+    rows += [(100 + k, f"p{k}/src/x.py", "plain words only") for k in range(len(names))]
+    apache = "# Licensed under the Apache License, Version 2.0\n# (the \"License\"); you may not use this file\n# except in compliance with the License.\n"
+    gpl = (" * This program is free software: you can\n * redistribute it and/or modify it under the\n * terms of the GNU General Public License as\n * published by the Free Software"
+           " Foundation,\n * either version 3 of the License, or (at your\n * option) any later version.\n")
+    mit = "// Permission is hereby granted, free of\n// charge, to any person obtaining a copy of\n// this software and associated\n// documentation files\n"
+    rows += [(201, "w/a.py", "#!/bin/x\n#\n" + apache + "#\nx = 1\n"), (202, "w/b.c", "/*\n *\n" + gpl + " *\n */\nint x;\n"), (203, "w/c.js", mit + "\nlet x\n")]
+    rows += [(300 + k, f"f/{k}", f"the words of a file and of the work number {k} to be the filler of that") for k in range(60)]
+    got = {r.doc_id: (r.license, r.inherited_from) for r in S.scan_files(frame(spark, rows, FILES)).collect()}
+    assert [got[100 + k] for k in range(len(names))] == [(name, f"p{k}/LICENSE") for k, name in enumerate(names)]
+    assert [got[k][0] for k in (201, 202, 203)] == ["Apache-2.0", "GPL-3.0", "MIT"]
+    assert all(got[300 + k] == (None, None) for k in range(60))
