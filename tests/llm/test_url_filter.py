@@ -48,6 +48,17 @@ def test_walk_equals_brute_force(spark):
     assert U.personalised_rank(s.where("weight > 9"), e).count() == 0
 
 
+def test_walk_reaches_the_end_of_a_long_chain(spark):
+    n = 62
+    edges = [(k, k + 1, 1) for k in range(n - 1)]
+    e = spark.createDataFrame([(str(a), str(b), k) for a, b, k in edges], "src string, dst string, n long")
+    s = spark.createDataFrame([("0", 1)], "host string, weight long")
+    got = {r["host"]: r["rank"] for r in U.personalised_rank(s, e, tolerance=1e-4).collect()}
+    want = _brute(n, edges, [1] + [0] * (n - 1))
+    assert len(got) == n and all(0 < got[str(i)] and abs(got[str(i)] - want[i]) < 1e-4 for i in range(n))
+    assert U.most_steps(U.DAMPING, U.TOLERANCE) > 80
+
+
 def test_links_carry_trust_and_distrust(spark):
     link = "<a href='https://{}/x'>t</a>".format
     rows = [(k, f"http://spam{k}.net/p", "") for k in range(6)] + [(10, "http://farm.xyz/a", link("Spam1.NET") + link("spam2.net") + '<a href="/local">l</a>')]
