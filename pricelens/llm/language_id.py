@@ -48,6 +48,8 @@ SCRIPT = np.zeros(256, dtype=np.int64)
 for _first, _after, _number in SCRIPT_RANGES:
     SCRIPT[_first:_after] = _number
 N_SCRIPTS = 12
+#: Type of a label: any number of languages that a model of this size can hold.
+LABEL = np.int32
 #: Bytes of text that are judged side by side; about 50 bytes of arrays each.
 SLICE = 2 * BLOCK
 
@@ -144,7 +146,7 @@ def learn(labelled: DataFrame) -> Model | None:
 
 def viterbi(scores: np.ndarray, at: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
     """Best label of every word; texts (bounds ``at``) go side by side, one word a step."""
-    labels = np.zeros(len(scores), dtype=np.int8)
+    labels = np.zeros(len(scores), dtype=LABEL)
     lengths = np.diff(at)
     order = np.argsort(-lengths, kind="stable")
     order = order[lengths[order] > 0]
@@ -152,9 +154,9 @@ def viterbi(scores: np.ndarray, at: np.ndarray, penalty: float = SWITCH) -> np.n
         return labels
     begin, rising = at[:-1][order], lengths[order][::-1]
     switched = np.zeros(scores.shape, dtype=bool)
-    top = np.zeros(len(scores), dtype=np.int8)
+    top = np.zeros(len(scores), dtype=LABEL)
     best = scores[begin].copy()
-    last = np.zeros(len(order), dtype=np.int8)
+    last = np.zeros(len(order), dtype=LABEL)
     running = len(order)
     for t in range(1, int(lengths[order[0]])):
         still = len(order) - int(np.searchsorted(rising, t, "right"))

@@ -54,3 +54,11 @@ def test_viterbi_equals_trying_all_paths():
                 return sum(scores[a + k, s] for k, s in enumerate(path)) - 1.5 * sum(x != y for x, y in itertools.pairwise(path))
             best = max(map(worth, itertools.product(range(3), repeat=b - a)))
             assert abs(worth(labels[a:b].tolist()) - best) < 1e-9
+
+
+def test_more_languages_than_a_byte_counts():
+    n = 200
+    at = np.array([0, 2, 3])
+    scores = np.zeros((3, n))
+    scores[[0, 1, 2], [150, 150, 199]] = 10.0
+    assert L.viterbi(scores, at).tolist() == [150, 150, 199]
