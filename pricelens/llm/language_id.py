@@ -6,7 +6,9 @@ words use. A word's script, read off its first character's range, narrows its
 candidates to the languages that use that script; each candidate's score is the sum of its
 trigrams' log likelihoods. Viterbi over a document's words, with a penalty for each
 switch of language, labels the words; runs of equal labels are the spans. The document's
-language is the one with the most letters, the score its share of them.
+language is the one with the most letters. The score is the share of all letters that give evidence for it:
+those of its words whose script it uses and whose likelihood by trigram beats the background, which lies halfway
+between what the language's own trigrams have on average and evenly spread places.
 
 The model is bounded by the number of languages and the table size, whatever the
 corpus: each training task sends one table per language, added up by language.
@@ -14,7 +16,8 @@ Words are runs of letters: a-z after lower-casing and all characters outside ASC
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and no spans;
 so is every text if there is nothing to learn from; ties go to the first language by name;
-words of a script that no language uses are labelled by their neighbours; rows
+words of a script that no language uses are labelled by their neighbours and give no evidence, so
+a text of such words alone has score 0; rows
 repeat as they come; a null doc_id is never held out. Only doc_id and text are
 read for a prediction, and text and lang of the training rows for learning.
 """
@@ -121,10 +124,24 @@ class Model:
         self.langs = langs
         grams = counts[:, :1 << BITS].astype(np.float64) + 0.5
         log = np.log10(grams / grams.sum(axis=1, keepdims=True))
-        self.table = np.ascontiguousarray((log - log.mean(axis=0)).T)
+        self.mean = log.mean(axis=0)
+        self.table = np.ascontiguousarray((log - self.mean).T)
+        #: Least mean log likelihood of a trigram in a word that is evidence for the language.
+        self.background = ((10 ** log * log).sum(axis=1) - BITS * np.log10(2)) / 2
         words = counts[:, 1 << BITS:]
         self.uses = ((words >= SCRIPT_SHARE * words.sum(axis=1, keepdims=True)) & (words > 0)).T
 
+    def evidence(self, places: np.ndarray, starts: np.ndarray, ends: np.ndarray, scripts: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        """Which words are evidence for their label."""
+        found = np.zeros(len(starts), dtype=bool)
+        sums = np.zeros(len(places) + 1)
+        for k in np.unique(labels).tolist():
+            mine = np.flatnonzero(labels == k)
+            np.cumsum((self.table[:, k] + self.mean)[places], out=sums[1:])
+            a, b = starts[mine], ends[mine]
+            found[mine] = (sums[b] - sums[a] > (b - a) * self.background[k]) & self.uses[scripts[mine], k]
+        return found
+
     def word_scores(self, places: np.ndarray, starts: np.ndarray, ends: np.ndarray, scripts: np.ndarray) -> np.ndarray:
         out = np.empty((len(starts), len(self.langs)))
         sums = np.zeros(len(places) + 1)
@@ -194,12 +211,14 @@ def _judged(texts: pa.Array, model: Model | None) -> list[pa.Array]:
         owner = np.repeat(np.arange(n), np.diff(at))
         letters = np.bincount(owner * len(model.langs) + labels, weights=ends - starts, minlength=n * len(model.langs)).reshape(n, -1)
         total = letters.sum(axis=1)
+        sure = model.evidence(places, starts, ends, scripts, labels)
+        proven = np.bincount((owner * len(model.langs) + labels)[sure], weights=(ends - starts)[sure], minlength=n * len(model.langs)).reshape(n, -1)
         plain = _ascii_letters(texts)
         for k in np.flatnonzero(total).tolist():
             if not plain[k] and not any(map(str.isalpha, texts[k].as_py())):
                 continue
             best = int(letters[k].argmax())
-            langs[k], scores[k] = model.langs[best], letters[k, best] / total[k]
+            langs[k], scores[k] = model.langs[best], proven[k, best] / total[k]
             own = labels[at[k]:at[k + 1]]
             cuts = np.concatenate(([0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)])).tolist()
             spans[k] = [{"first_word": a, "n_words": b - a, "lang": model.langs[own[a]]} for a, b in zip(cuts[:-1], cuts[1:], strict=True)]

@@ -38,6 +38,16 @@ def test_stages_take_effect_and_clean_documents_stay(spark, tmp_path):
     assert kept["near_copies"].keys() == kept["lines"].keys() - {101} and kept["benchmark"].keys() == ids | {102, 103} == kept["packing"].keys()
 
 
+def test_language_stage_drops_unlearned_scripts_and_even_mixtures(spark):
+    rng = seeded(22)
+    clean = [(k, _text(rng, "en" if k % 2 else "fr", 60), "en" if k % 2 else "fr") for k in range(60)]
+    greek, han = "\u03b7 \u03b3\u03bb\u03ce\u03c3\u03c3\u03b1 \u03b5\u03af\u03bd\u03b1\u03b9 " * 8, "\u8fd9\u662f \u6587\u672c " * 8
+    known = " ".join(["house water"] * 10)
+    rows = [(100, greek, None), (101, han, None), (102, known + " " + greek * 9, None), (103, known * 9 + " " + greek, None), (104, "qzxj vkqw jxzq " * 9, None)]
+    kept = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, frame(spark, clean + rows), None).collect()}
+    assert kept == {d: lang for d, _, lang in clean} | {103: "en"}
+
+
 def test_run_equals_its_stages(spark):
     out = corpus_pipeline.run(spark, SF_SMALL)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"]
