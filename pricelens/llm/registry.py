@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, decontaminate, jaccard_join, language_id, license_scan, line_dedup, merkle, packing, token_files, url_filter
+from . import (class_lm, decontaminate, hard_negatives, jaccard_join, language_id, license_scan, line_dedup, merkle, packing, piece_codec, prefix_trie, token_files,
+               url_filter)
 from .base import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +75,18 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
+@query(hard_negatives.ORACLE)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(read_table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.digests(read_table(spark, sf_dir, "documents"))
+
+
+@query(prefix_trie.ORACLE)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.regrafted_trie(read_table(spark, sf_dir, "conversations"))
