@@ -163,7 +163,7 @@ def matches(index: DataFrame, rare: DataFrame, slop: int = SLOP) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near (items met only in proximity), hit items."""
+    """Per row of ``docs``: doc_id, doc (a hash of id and text), n_words, n_hit, n_items, items_sha256, contaminated, n_near (items met only in proximity), hit items."""
     docs = keyed(docs)
     windows = cut(benchmark_windows(benchmark))
     rare = rarest_terms(docs, windows)
@@ -180,15 +180,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
              .groupBy("doc").agg(F.sort_array(F.collect_list(F.when(F.col("near") == 0, F.col("item_id")))).alias("items"), F.sum("near").alias("n_near")))
     none = F.array().cast("array<string>")
     return (judged.join(items, "doc", "left").withColumn("items", F.coalesce("items", none))
-            .select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+            .select("doc_id", "doc", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                     F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
                     (F.col("n_hit") > 0).alias("contaminated"), F.coalesce("n_near", F.lit(0)).alias("n_near"), "items"))
 
 
 def clean_only(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id has no contaminated text."""
-    dirty = judged.where("contaminated").select(F.col("doc_id").alias("_dirty")).distinct()
-    return docs.join(dirty, docs.doc_id.eqNullSafe(dirty._dirty), "left_anti")
+    """The rows of ``docs`` whose text is not contaminated; rows that share an id, or have none, are judged each by its own text."""
+    dirty = judged.where("contaminated").select(F.col("doc").alias("_dirty")).distinct()
+    return docs.join(dirty, F.xxhash64(docs.doc_id.cast("long"), docs.text) == F.col("_dirty"), "left_anti")
 
 
 ORACLE = r"""

@@ -53,7 +53,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(decontaminate.ORACLE)
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("n_near", "items")
+    return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("doc", "n_near", "items")
 
 
 @query()

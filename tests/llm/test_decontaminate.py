@@ -70,3 +70,14 @@ def test_empty_tables_and_clean_only(spark):
     judged = D.contamination(table, frame(spark, items, "item_id long, text string"))
     dirty = {r.doc_id for r in judged.where("contaminated").collect()}
     assert {r.doc_id for r in D.clean_only(table, judged).collect()} == {d for d, _ in docs} - dirty
+
+
+def test_clean_rows_that_share_an_id_stay(spark):
+    item = "zebra one two three four five six seven eight quagga"
+    rows = [(None, item), (None, "a clean text"), (3, "before " + item), (3, "another clean text"), (3, "another clean text"), (4, item), (4, item), (5, None), (None, None)]
+    docs = frame(spark, rows)
+    judged = D.contamination(docs, frame(spark, [(7, item)], "item_id long, text string"))
+    kept = D.clean_only(docs, judged).select("doc_id", "text").collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(repr(r) for r in rows if r[1] is None or "zebra" not in r[1])
+    long = frame(spark, [(1, "pad " * 700_000 + item), (2, "pad " * 700_000)])
+    assert [r.n_hit for r in D.contamination(long, frame(spark, [(7, item)], "item_id long, text string")).orderBy("doc_id").collect()] == [10, 0]
