@@ -48,6 +48,15 @@ def test_language_stage_drops_unlearned_scripts_and_even_mixtures(spark):
     assert kept == {d: lang for d, _, lang in clean} | {103: "en"}
 
 
+def test_no_labels_and_empty_tables(spark, tmp_path):
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    unlabelled = frame(spark, [(1, "the house by the water"), (2, None), (None, "12 34")], columns)
+    assert corpus_pipeline.language(spark, unlabelled, None).collect() == unlabelled.collect()
+    frame(spark, [], columns).write.parquet(f"{tmp_path}/documents.parquet")
+    frame(spark, [], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_run_equals_its_stages(spark):
     out = corpus_pipeline.run(spark, SF_SMALL)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"]
