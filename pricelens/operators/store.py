@@ -149,6 +149,23 @@ def search_history(searches: DataFrame, limit: int = 20) -> DataFrame:
             .orderBy(F.col("id").desc()).limit(limit))
 
 
+#: Headings of the history table, in its order.
+HISTORY_HEADINGS = {"id": "ID", "query": "Query", "pincode": "Pincode", "result_count": "Results", "searched_at": "Searched At"}
+
+
+def history_table(searches: DataFrame, limit: int = 20) -> DataFrame:
+    """The search history under its headings."""
+    return search_history(searches, limit).select(*[F.col(c).alias(h) for c, h in HISTORY_HEADINGS.items()])
+
+
+def file_kb(spark: SparkSession, files: list[str]) -> float:
+    """Size of the files in KB, one decimal, as the file system reports it."""
+    jvm = spark._jvm
+    paths = [jvm.org.apache.hadoop.fs.Path(f) for f in files]
+    total = sum(p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getLen() for p in paths)
+    return round(total / 1024.0, 1)
+
+
 def store_stats(prices: DataFrame, searches: DataFrame) -> DataFrame:
     """Row counts of both tables and the stored size in KB (A3).
 

@@ -24,13 +24,17 @@ _LISTING_LIST = [c.strip() for c in LISTING_COLS.split(",")]
 
 
 @query("valid_searches", with_base("""
-SELECT search_id, query, pincode, searched_at,
-       coalesce(trim(query) <> '', FALSE) AND coalesce(regexp_full_match(pincode, '[0-9]{6}'), FALSE) AS is_valid,
-       CASE WHEN NOT coalesce(trim(query) <> '', FALSE) THEN 'empty query'
-            WHEN NOT coalesce(regexp_full_match(pincode, '[0-9]{6}'), FALSE) THEN 'bad pincode' END AS reason
-FROM searches"""))
+SELECT search_id, q AS query, p AS pincode, searched_at, coalesce(q <> '', FALSE) AND coalesce(regexp_full_match(p, '[0-9]{6}'), FALSE) AS is_valid,
+       CASE WHEN NOT coalesce(q <> '', FALSE) THEN 'empty query' WHEN NOT coalesce(regexp_full_match(p, '[0-9]{6}'), FALSE) THEN 'bad pincode' END AS reason
+FROM (SELECT search_id, searched_at, regexp_replace(regexp_replace(typed, '^\\s+', ''), '\\s+$', '') AS q, regexp_replace(regexp_replace(pin, '^\\s+', ''), '\\s+$', '') AS p
+      FROM (SELECT *, CASE WHEN search_id % 7 = 0 THEN chr(9) || ' ' WHEN search_id % 7 = 1 THEN ' ' || query || chr(10) ELSE query END AS typed,
+                      CASE WHEN search_id % 5 = 0 THEN pincode || chr(10) WHEN search_id % 5 = 1 THEN pincode || '7' WHEN search_id % 5 = 2 THEN chr(9) || pincode ELSE pincode END AS pin FROM searches))"""))
 def valid_searches(spark, sf):
-    return R.validate_searches(searches(spark, sf))
+    # As typed: with white space around the texts, only white space, or a digit too many.
+    s, k = searches(spark, sf), F.col("search_id")
+    typed = F.when(k % 7 == 0, F.lit("\t ")).when(k % 7 == 1, F.concat(F.lit(" "), "query", F.lit("\n"))).otherwise(F.col("query"))
+    pin = F.when(k % 5 == 0, F.concat("pincode", F.lit("\n"))).when(k % 5 == 1, F.concat("pincode", F.lit("7"))).when(k % 5 == 2, F.concat(F.lit("\t"), "pincode")).otherwise(F.col("pincode"))
+    return R.validate_searches(s.withColumns({"query": typed, "pincode": pin}))
 
 
 @query("price_name_filters", with_base(f"""
@@ -64,6 +68,29 @@ def projection_views(spark, sf):
         "brand", "mrp", "discount_pct", "quantity", "unit", "price_per_unit")
 
 
+_SAMPLE_ORDER = "line_no, part_id, platform, price, product_name"
+
+
+@query("message_sample", with_base(f"""
+SELECT search_id, platform, product_name, price, size_label, source FROM (
+  SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY {_SAMPLE_ORDER}) AS position FROM listings) WHERE position <= 6"""))
+def message_sample(spark, sf):
+    order = [F.col(c.strip()) for c in _SAMPLE_ORDER.split(",")]
+    return R.view(R.first_n_per_page(domain.listings(spark, sf), ["search_id"], order, R.SAMPLE_SIZE), R.SAMPLE_VIEW, ["search_id"])
+
+
+@query("raw_view", with_base("""
+SELECT search_id, platform, product_name, price, mrp, discount_pct, size_label, brand, delivery_mins, scraped_at, source, pincode FROM listings"""))
+def raw_view(spark, sf):
+    return R.view(domain.listings(spark, sf), R.RAW_VIEW, ["search_id"])
+
+
+@query("processed_view", with_base(_PRICES_SQL + """
+SELECT search_id, platform, product_name, price, mrp, discount_pct, rank, savings, is_best_deal, price_per_unit, unit_norm, size_label, processed_at FROM prices"""))
+def processed_view(spark, sf):
+    return R.view(stored(spark, sf)[0], R.PROCESSED_VIEW, ["search_id"])
+
+
 @query("out_of_stock", with_base("""
 SELECT platform, pincode, count(*) FILTER (WHERE NOT coalesce(in_stock, TRUE)) AS n_out_of_stock,
        count(*) AS n_offers
@@ -138,7 +165,7 @@ SELECT search_id, line_no, part_id, platform, product_name, price, position FROM
 def first_n_records(spark, sf):
     r = domain.ranked(spark, sf, "search")
     top = R.first_n_per_page(r, ["search_id"], [F.col(c) for c in ("rank", "price", "line_no", "part_id",
-                                                                     "platform", "product_name")], F.lit(6))
+                                                                     "platform", "product_name")], 6)
     return top.select("search_id", "line_no", "part_id", "platform", "product_name", "price",
                       F.col("position").cast("long").alias("position"))
 
@@ -174,7 +201,7 @@ SELECT search_id, platform, line_no, part_id, product_name, price, position FROM
 def top_n_per_page(spark, sf):
     lst = domain.listings(spark, sf)
     top = R.first_n_per_page(lst, ["search_id", "platform"], [F.col(c) for c in _POS.split(", ")],
-                             R.setting(F.col("platform"), "cap"))
+                             R.setting(F.col("platform"), "cap"), R.largest_cap())
     return top.select("search_id", "platform", "line_no", "part_id", "product_name", "price",
                       F.col("position").cast("long").alias("position"))
 
@@ -220,10 +247,24 @@ def foreach_batch_store(spark, sf):
     raw = raw_offers(spark, sf)
     src = S.stage_files(raw, scratch_path(spark, "store-src"), "search_id", 4)
     sink = scratch_path(spark, "store-batches")
-    writer = S.batch_writer(sink, lambda b: price_rows(S.rank_batch(b),
-                                                       F.lit(PROCESSED_AT).cast("timestamp_ntz")))
+    writer = S.raw_and_clean_writer(sink, lambda b: price_rows(S.rank_batch(b),
+                                                               F.lit(PROCESSED_AT).cast("timestamp_ntz")))
     S.run_available_now(S.file_stream(spark, src, raw.schema), spark, "store", foreach=writer)
-    return spark.read.parquet(sink).drop("batch_id")
+    return spark.read.parquet(f"{sink}/clean").drop("batch_id")
+
+
+@query("stream_raw_sink", with_base("""
+SELECT search_id, line_no, part_id, platform, name, price_text, in_stock, captured_at FROM raw_offers"""))
+def stream_raw_sink(spark, sf):
+    # The raw side of the two sinks: every captured offer as it came, whatever the clean side makes of it (K9).
+    from ..sources import raw_offers
+    from ..streaming import stream as S
+    raw = raw_offers(spark, sf)
+    src = S.stage_files(raw, scratch_path(spark, "raw-src"), "search_id", 4)
+    sink = scratch_path(spark, "raw-batches")
+    writer = S.raw_and_clean_writer(sink, lambda b: S.normalise_stream(b).where("price IS NOT NULL"))
+    S.run_available_now(S.file_stream(spark, src, raw.schema), spark, "raw", foreach=writer)
+    return spark.read.parquet(f"{sink}/raw").select("search_id", "line_no", "part_id", "platform", "name", "price_text", "in_stock", "captured_at")
 
 
 __all__ = ["table"]

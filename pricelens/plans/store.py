@@ -49,7 +49,11 @@ FROM store_searches s LEFT JOIN prices p ON p.search_id = s.id GROUP BY ALL"""))
 def store_appends(spark, sf):
     # Two batches of searches that share days, then the second one again: nothing is lost, nothing doubled.
     ranked = domain.ranked(spark, sf, "group")
-    prices = S.price_rows(ranked, F.lit(PROCESSED_AT).cast("timestamp_ntz"))
+    # Ranked once and stored; each batch reads its own rows of that table.
+    held = scratch_path(spark, "store-ranked")
+    whole = S.price_rows(ranked, F.lit(PROCESSED_AT).cast("timestamp_ntz"))
+    whole.write.parquet(held)
+    prices = spark.read.schema(whole.schema).parquet(held)
     srch = searches(spark, sf)
     root = scratch_path(spark, "store-appends")
     for batch in ("0", "1", "1"):
@@ -104,11 +108,18 @@ def search_history(spark, sf):
     return S.search_history(s, 20)
 
 
+@query("history_table", with_base(_PRICES_SQL + """
+SELECT id AS "ID", query AS "Query", pincode AS "Pincode", result_count AS "Results", searched_at AS "Searched At" FROM store_searches ORDER BY id DESC LIMIT 20"""))
+def history_table(spark, sf):
+    return S.history_table(stored(spark, sf)[1], 20)
+
+
 @query("store_stats", with_base(_PRICES_SQL + """
-SELECT (SELECT count(*) FROM prices) AS total_prices, (SELECT count(*) FROM store_searches) AS total_searches"""))
+SELECT (SELECT count(*) FROM prices) AS total_prices, (SELECT count(*) FROM store_searches) AS total_searches, TRUE AS size_is_that_of_the_files"""))
 def store_stats(spark, sf):
+    # No other engine writes files of the same size, so the size is compared with the files that the store lists.
     p, s = stored(spark, sf)
-    return S.store_stats(p, s).select("total_prices", "total_searches")
+    return S.store_stats(p, s).select("total_prices", "total_searches", (F.col("db_size_kb") == F.lit(S.file_kb(spark, [*p.inputFiles(), *s.inputFiles()]))).alias("size_is_that_of_the_files"))
 
 
 @query("orphan_prices", with_base(_PRICES_SQL + """

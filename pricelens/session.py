@@ -51,7 +51,8 @@ def workspace(spark: SparkSession) -> str:
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):  # local-cluster has executors of its own
             raise RuntimeError("set spark.checkpoint.dir to a shared folder on a cluster")
         d = tempfile.mkdtemp(prefix="pricelens-")
         spark.conf.set("spark.checkpoint.dir", d)
