@@ -1,4 +1,4 @@
-"""Catalogue: isolation forest and exact quantiles."""
+"""Catalogue: isolation forest, exact quantiles, mergeable distinct counts."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import analytics as A
 from ..operators import isolation as I
+from ..operators import sketches as K
 from ..operators.quantile import exact_quantile
 from ..session import scratch_path
 from ..sources import price_ticks
@@ -60,3 +61,19 @@ def anomaly_forest(spark, sf):
 def price_quantiles(spark, sf):
     ticks = price_ticks(spark, sf)
     return spark.createDataFrame([(q, exact_quantile(ticks, "price", q, small=500, accuracy=200)) for q in SHARES], "q double, price double")
+
+
+@query("distinct_sketches", """
+SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS n_users, count(DISTINCT event_id) AS n_ticks, TRUE AS users_in_error, TRUE AS ticks_in_error
+FROM events GROUP BY CUBE (event_type)""")
+def distinct_sketches(spark, sf):
+    # Sketches of each day, written in two rounds of days; the cube reads sketches only. Five standard errors, or two, are allowed.
+    ticks = price_ticks(spark, sf).select(F.to_date("ts").alias("day"), F.col("platform").alias("event_type"), "product_id", "tick_id")
+    path = scratch_path(spark, "daily-sketches")
+    for half in (0, 1):
+        K.add_days(K.daily_sketches(ticks.where(F.dayofmonth("day") % 2 == half), "day", ["event_type"], ["product_id", "tick_id"]), path, "day")
+    told = K.cube_counts(spark, path, ["event_type"], ["product_id", "tick_id"])
+    exact = ticks.cube("event_type").agg(F.count_distinct("product_id").alias("n_users"), F.count_distinct("tick_id").alias("n_ticks"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.greatest(F.lit(2.0), F.col(b) * (5 * 1.04 / 2 ** (K.LG_K / 2)))
+    return (told.withColumnRenamed("event_type", "_t").join(exact, F.col("_t").eqNullSafe(F.col("event_type")))
+            .select("event_type", "n", "n_users", "n_ticks", near("product_id", "n_users").alias("users_in_error"), near("tick_id", "n_ticks").alias("ticks_in_error")))
