@@ -63,7 +63,7 @@ def test_searches_are_stripped_before_they_are_judged(spark):
 
 
 def test_a_hot_page_is_cut_before_it_is_gathered(spark):
-    df = spark.range(2000).select(F.lit(1).alias("page"), F.col("id").alias("line"), F.when(F.col("id") % 2 == 0, 3).otherwise(5).alias("cap"))
+    df = spark.range(2000).select(F.floor(F.col("id") / 5000).alias("page"), F.col("id").alias("line"), F.when(F.col("id") % 2 == 0, 3).otherwise(5).alias("cap"))
     top = R.first_n_per_page(df, ["page"], [F.col("line")], F.col("cap"), 5)
     assert [r.line for r in top.orderBy("line").collect()] == [0, 1, 2, 3] and "WindowGroupLimit" in top._jdf.queryExecution().toString()
 
