@@ -5,9 +5,10 @@ Method. A file's segments are its lines, split at sentence ends, and its sentenc
 A segment's sparse vector holds the TF-IDF weights of its words; its cosine with each notice's vector decides. Inverse
 document frequencies of the templates' words count all lines' segments of the corpus; other
 words weigh as much as a word that occurs once. The best segment is the file's header
-licence; a file that as a whole is like a notice, or like one of the whole licence texts in ``licences``
-(repeated words damped by logarithm, so that common words alone are no likeness), is a licence file and speaks for its
-directory. A file without a header licence inherits from the licence file in the nearest directory
+licence, and a file that as a whole is like a notice, or like one of the whole licence texts in ``licences``
+(repeated words damped by logarithm, so that common words alone are no likeness), has that licence. It speaks for its
+directory if it is a licence file: by its shape (like a whole licence text) or by its name (``LICENSE_NAMES``) and a notice; a
+one-line notice in a file of another name speaks for itself only. A file without a header licence inherits from the licence file in the nearest directory
 above it: each directory is joined with its ancestors, the longest match wins, and files
 join their directory.
 
@@ -16,7 +17,7 @@ there, and its files are split by the skew join. The templates' words are the on
 collected (the templates bound them).
 
 Defined results: null and empty texts and null paths have no licence of their own (a file with a
-null path inherits nothing); equal scores go to the first licence by name, equal licence files of a directory to the smallest path; repeated rows stay.
+null path inherits nothing); an empty table gives none; very long texts are scanned in blocks of whole words; columns besides doc_id, path and text are not read; equal scores go to the first licence by name, equal licence files of a directory to the smallest path; repeated rows stay.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ from .scan import ALNUM, longs, slices, word_hashes
 HEADER_LIKENESS, FILE_LIKENESS = 0.6, 0.6
 #: Least cosine of a file with a whole licence text.
 TEXT_LIKENESS = 0.8
+#: Names of files that hold the licence of a directory.
+LICENSE_NAMES = r"(?i)^((un)?licen[cs]e|copying|copyright|notice)([-_. ][^/]*)?$"
 _GNU = "This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2} General Public License as published by the Free Software Foundation"
 _MIT = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
         "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, "
@@ -162,8 +165,8 @@ def _judge(templates: Templates, whole_texts: Templates):
             text, text_score = whole_texts.likeness(*words)
             is_text = text_score >= TEXT_LIKENESS
             file[is_text], whole_score[is_text] = text_names[text[is_text]], text_score[is_text]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("path"), pa.array(header, pa.string()), pa.array(header_score), pa.array(file, pa.string()), pa.array(whole_score)],
-                                             ["doc_id", "path", "header_license", "header_score", "file_license", "file_score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("path"), pa.array(header, pa.string()), pa.array(header_score), pa.array(file, pa.string()), pa.array(whole_score), pa.array(is_text)],
+                                             ["doc_id", "path", "header_license", "header_score", "file_license", "file_score", "is_text"])
     return run
 
 
@@ -176,10 +179,11 @@ def scan_files(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -
     total = counts.pop(None, 0) or 0
     rare = float(np.log(1 + total) + 1)
     idf = {t: float(np.log((1 + total) / (1 + n)) + 1) for t, n in counts.items()}
-    judged = cut(files.mapInArrow(_judge(Templates(templates, idf, rare), Templates(texts, idf, rare, damped=True)), "doc_id long, path string, header_license string, header_score double, file_license string, file_score double"))
+    judged = cut(files.mapInArrow(_judge(Templates(templates, idf, rare), Templates(texts, idf, rare, damped=True)), "doc_id long, path string, header_license string, header_score double, file_license string, file_score double, is_text boolean"))
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)  # "" at the top
     judged = judged.withColumn("dir", folder)
-    by_dir = (judged.where("file_license IS NOT NULL AND path IS NOT NULL").groupBy("dir")
+    speaks = F.col("is_text") | F.regexp_extract("path", r"([^/]*)$", 1).rlike(LICENSE_NAMES)
+    by_dir = (judged.where(F.col("file_license").isNotNull() & F.col("path").isNotNull() & speaks).groupBy("dir")
               .agg(F.min_by(F.struct("file_license", "path"), F.struct(-F.col("file_score"), F.col("path"))).alias("l"))
               .select(F.col("dir").alias("above"), F.col("l.file_license").alias("inherited"), F.col("l.path").alias("inherited_from")))
     dirs = judged.where("path IS NOT NULL").select("dir").distinct()
