@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pricelens.operators.delivery import stamp_delivery
 from pricelens.functions import round_half_up
-from pricelens.operators.ranking import SCOPES, coarse_step, rank_within, score_and_rank, with_value_score
+from pricelens.operators.ranking import SCOPES, coarse_step, heavy_values, rank_within, score_and_rank, with_value_score
 from pricelens.plans import domain
 from pricelens.sources.lookups import city_of, delivery_minutes
 
@@ -82,3 +82,33 @@ def test_one_hot_search_is_spread(spark):
     windows = [line for line in plan.split("\n") if "windowspecdefinition" in line]
     assert windows and all("_s#" in line for line in windows)
     assert ranked.where("search_id = 1").select(F.max("rank"), F.count_distinct("rank"), F.max("max_price")).first() == (40000, 40000, 39999.0)
+
+
+def test_heavy_groups_are_ranked_like_all_others(spark):
+    rows = [(1, i % 7 * 1.5, float(i)) for i in range(40)] + [(2, 3.0, 1.0), (2, None, 2.0), (2, float("nan"), 9.0), (None, 1.0, 4.0), (None, 0.5, 5.0)]
+    df = spark.createDataFrame(rows, "search_id long, value_score double, price double")
+    heavy = heavy_values(df, F.col("search_id"), "search_id", 10)
+    assert [r.search_id for r in heavy.collect()] == [1]
+    for dense in (False, True):
+        plain = rank_within(df, ["search_id"], "value_score", dense=dense)
+        both = rank_within(df, ["search_id"], "value_score", dense=dense, heavy=heavy)
+        assert plain.columns == both.columns and both.count() == len(rows)
+        assert plain.exceptAll(both).count() == 0 and both.exceptAll(plain).count() == 0
+
+
+def test_offers_joined_by_search_are_ranked_without_another_shuffle(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        offers = spark.createDataFrame([(1, 2.0, 5.0)], "k long, value_score double, price double")
+        dealt = offers.join(spark.createDataFrame([(1,)], "search_id long"), F.col("k") == F.col("search_id")).drop("k")
+        light = rank_within(dealt, ["search_id"], "value_score", heavy=spark.createDataFrame([], "search_id long"))
+        light.collect()
+        plan = light._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("Exchange hashpartitioning") == 2 and "rank(" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_listing_rules_do_not_exceed_what_the_jvm_compiles(spark):
+    domain.listings(spark, SF_SMALL)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
