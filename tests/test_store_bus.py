@@ -95,3 +95,22 @@ def test_malformed_messages_quarantined(spark):
     good, bad = B.decode(msgs, T.StructType([T.StructField("a", T.IntegerType())]))
     assert sorted((r.a is None, r.a) for r in good.collect()) == [(False, 1), (True, None)]
     assert bad.count() == 6
+
+
+def test_number_within_keeps_what_is_asked_and_leaves_no_checkpoint(spark, monkeypatch):
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", lambda *a, **k: 1 / 0)
+    df = spark.createDataFrame([("a", 3), ("b", 1), ("a", 1), (None, 9)], "g string, k long")
+    for few in (False, True):
+        n = number_within(df.where("g IS NOT NULL"), "g", ["k"], keep=[(F.col("k") * 10).alias("t")], few_groups=few)
+        assert n.columns[-1] == "seq" and sorted(map(tuple, n.select("g", "t", "seq").collect())) == [("a", 10, 0), ("a", 30, 1), ("b", 10, 0)]
+
+
+def test_encoded_messages_are_written_as_they_lie(spark):
+    rows = spark.createDataFrame([("p", "n", str(i % 3), i) for i in range(30)], "platform string, product_name string, size_label string, i long")
+    want = {r.value: r.offset for r in B.encode(rows, order=["i"]).collect()}  # not all columns are in the order
+    path = scratch_path(spark, "runs")
+    B.write_topic(B.encode(rows, order=["i", "platform", "product_name", "size_label"]), path, encoded=True)
+    read = B.read_topic(spark, path)
+    assert {bytes(r.value): r.offset for r in read.collect()} == {bytes(v): o for v, o in want.items()}
+    per = B.flow_metadata(read).collect()
+    assert sum(r.messages for r in per) == 30 and all(r.offset_before == 0 and r.offset_after == r.messages for r in per)
