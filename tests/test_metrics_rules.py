@@ -79,3 +79,10 @@ def test_history_table_and_stored_size(spark):
         spark.createDataFrame([("x",)], "a string").write.text(f"{root}-model/metadata")
         load_model(f"{root}-model")
     assert load_model(f"{root}-none") is None
+
+
+def test_row_digests_tell_nulls_from_empty_texts(spark):
+    a = spark.createDataFrame([("x", None), ("", "x"), ("x", None)], "a string, b string")
+    b = spark.createDataFrame([("x", None), (None, "x"), ("x", None)], "a string, b string")
+    assert R.row_digests(a).exceptAll(R.row_digests(b)).count() == 1 and R.row_digests(a).exceptAll(R.row_digests(a)).isEmpty()
+    assert R.row_digests(a).exceptAll(R.row_digests(a.distinct())).count() == 1
