@@ -112,3 +112,11 @@ def test_offers_joined_by_search_are_ranked_without_another_shuffle(spark):
 def test_listing_rules_do_not_exceed_what_the_jvm_compiles(spark):
     domain.listings(spark, SF_SMALL)
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_without_heavy_groups_the_rows_are_planned_once(spark):
+    df = spark.range(1000).select((F.col("id") % 50).alias("search_id"), (F.col("id") % 7).cast("double").alias("value_score"), F.lit(1.0).alias("price"))
+    heavy = heavy_values(df, F.col("search_id"), "search_id", 20)
+    plan = rank_within(df, ["search_id"], "value_score", heavy=heavy)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and "Join" not in plan
+    assert sorted(r[0] for r in heavy_values(df.where("search_id < 3 OR id < 500 OR search_id IS NULL"), F.col("search_id"), "search_id", 10).collect()) == [0, 1, 2]

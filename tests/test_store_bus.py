@@ -1,9 +1,13 @@
 """Store defaults and queries (K5, J1, T3, T4, A3), topic round trip and offsets."""
 
+import re
+import time
+
 from pyspark.sql import functions as F
 
 from pricelens.operators import bus as B
 from pricelens.operators import store as S
+from pricelens.operators.metrics import stored
 from pricelens.operators.sequence import number_within
 from pricelens.plans import domain
 from pricelens.session import scratch_path
@@ -114,3 +118,29 @@ def test_encoded_messages_are_written_as_they_lie(spark):
     assert {bytes(r.value): r.offset for r in read.collect()} == {bytes(v): o for v, o in want.items()}
     per = B.flow_metadata(read).collect()
     assert sum(r.messages for r in per) == 30 and all(r.offset_before == 0 and r.offset_after == r.messages for r in per)
+
+
+def test_dated_prices_are_counted_by_the_rows_of_their_search(spark):
+    prices = S.price_rows(spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (9, "d")], "search_id long, platform string")
+                              .withColumn("scraped_at", F.lit("2024-05-01 00:00:00").cast("timestamp_ntz")))
+    searches = spark.sql("""SELECT id AS search_id, q AS query, '400001' AS pincode, CAST(t AS TIMESTAMP_NTZ) AS searched_at FROM VALUES
+        (1, 'x', '2024-01-05'), (1, 'y', '2024-02-05'), (2, 'z', NULL), (3, 'w', '2024-01-01') AS v(id, q, t)""")
+    dated = stored(S.dated_prices(prices, searches), "dated")
+    root = scratch_path(spark, "dated-store")
+    S.write_dated(dated, searches, root)
+    p, s = S.read_store(spark, root)
+    assert {(r.query, r.result_count) for r in s.collect()} == {("x", 2), ("y", 2), ("z", 1), ("w", 0)}
+    assert sorted((r.search_id, r.search_month) for r in p.collect()) == [
+        (1, "2024-01"), (1, "2024-01"), (1, "2024-02"), (1, "2024-02"), (2, "2024-05"), (9, "2024-05")]
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().toString()
+        return set(re.findall(r"shuffle_\d+_\d+_\d+\.data", found))
+    before = files()
+    stored(spark.range(1000).repartition(3).groupBy((F.col("id") % 10).alias("k")).count(), "no-shuffles")
+    end = time.time() + 20  # files go in the background
+    while not files() <= before and time.time() < end:
+        time.sleep(0.2)
+    assert files() <= before
