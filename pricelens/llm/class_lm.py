@@ -6,17 +6,17 @@ that the likelihood of the training bigrams rises, in three steps:
 
 1. The ``HEAD`` most frequent words (one symbol each; one more symbol for all others, one for a text's end) are exchanged one at a
    time on their bigram table until the likelihood has settled.
-2. The ``KNOWN`` most frequent words: each word's counts beside the classes of step 1 are a row of a table; in rounds every word goes to
+2. All words of the training texts: each word's counts beside the classes of step 1 are a row of a table; in rounds every word goes to
    the class that makes its counts most likely, then the classes' counts are added up anew, until the likelihood has settled.
-3. The same for all words of the training texts, beside the classes of step 2.
+3. The same once more, beside the classes of step 2, which all words have.
 
-The number of classes grows with the vocabulary (its cube root, ``LEAST_CLASSES`` at least). As what stands before a word, the words
-outside the KNOWN most frequent count as one class; as what follows, each has its own.
+The number of classes grows with the vocabulary (its cube root, ``LEAST_CLASSES`` at least). What stands before a word has its class
+of step 2, however rare it is; only words that no training text has are one class there.
 
 What grows with the corpus stays distributed: the counts of all words, their counts beside each class, and their
-classes (one row a word each); the documents' words outside the KNOWN most frequent meet theirs in a join. What reaches the
-driver is bounded by the parameters and the number of classes: the HEAD and KNOWN words, the symbols' bigram table and
-the classes' counts, added up by Spark.
+classes (one row a word each); the words outside the KNOWN most frequent meet theirs in a join, and so do, as neighbours, those
+outside the HELD most frequent. What reaches the driver is bounded by the parameters and the number of classes: the HEAD, KNOWN and
+HELD words, the symbols' bigram table and the classes' counts, added up by Spark.
 
 Smoothing: class transitions are interpolated with class frequencies (``KAPPA`` counts); a class keeps one
 count for unseen words and each word has one more than its own; an unseen word gets what all classes keep for it.
@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import cut, held_out, release, stored, text_docs
@@ -44,7 +44,9 @@ from .scan import SPACED, longs, mix, slices, word_hashes
 HEAD, LEAST_CLASSES = 1536, 48
 #: Symbols of the head's bigram table: the head words, REST (all other words), END (the end token).
 SYMBOLS, REST, END = HEAD + 2, HEAD, HEAD + 1
+#: Words whose counts and classes tasks hold, and words whose classes as neighbours they hold; joins bring all others'.
 KNOWN = 1 << 18
+HELD = KNOWN
 KAPPA = 20.0
 #: The likelihood has settled when it rises by less than this share (of the bits that classes save, on the bigram table; of itself, in rounds).
 SETTLED = 1e-3
@@ -188,30 +190,86 @@ def exchange(table: np.ndarray, classes: int, rest: bool = False, settled: float
     return klass
 
 
-def _contexts(history: Words, classes: int, only: Words | None):
-    """Counts of each word beside the classes of its neighbours: place h after class h, place classes + 1 + h before class h. What follows an end is none of its neighbours."""
+def _contexts(history: Words, classes: int):
+    """(word, cells): counts of each word beside the classes of its neighbours, place h after class h, place classes + 1 + h before class h.
+    What follows an end is none of its neighbours. Neighbours whose class is not held are left to ``_others``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = 2 * (classes + 1)
         for batch in slices(batches):
             hashes, _ = tokens(batch.column("text"))
-            h = history(hashes)
+            h = _neighbours(history, hashes)
             word, at = np.unique(hashes, return_inverse=True)
-            before = at * places + np.concatenate(([0], h[:-1]))
             inner = np.flatnonzero(hashes != END_HASH)
-            after = at[inner] * places + classes + 1 + h[inner + 1]
-            if only is not None:
-                taken = only(word)[at] == 1
-                before, after = before[taken], after[taken[inner]]
-            cell, n = np.unique(np.concatenate((before, after)), return_counts=True)
-            yield pa.RecordBatch.from_arrays([longs(word[cell // places]), longs(cell % places), longs(n)], ["word", "place", "n"])
+            before, after = np.concatenate(([0], h[:-1])), h[inner + 1]
+            cell, n = np.unique(np.concatenate(((at * places + before)[before >= 0], (at[inner] * places + classes + 1 + after)[after >= 0])), return_counts=True)
+            yield _packed(word[cell // places], cell % places, n)
     return run
 
 
-def _beside(texts: DataFrame, history: Words, classes: int, only: Words | None, name: str) -> DataFrame:
-    """(word, cells): a row per word with its counts beside each class."""
-    rows = texts.mapInArrow(_contexts(history, classes, only), "word long, place long, n long")
-    cells = rows.groupBy("word", "place").agg(F.sum("n").alias("n")).select("word", F.shiftleft("n", PLACE_BITS).bitwiseOR(F.col("place")).alias("cell"))
-    vectors = stored(cells.groupBy("word").agg(F.sort_array(F.collect_list("cell")).alias("cells")), name)
+def _neighbours(history: Words, hashes: np.ndarray) -> np.ndarray:
+    h = history(hashes)
+    h[hashes == END_HASH] = 0
+    return h
+
+
+def _others(history: Words):
+    """Counts of each word beside each neighbour whose class is not held; side 0: after it, side 1: before it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            hashes, _ = tokens(batch.column("text"))
+            at = np.flatnonzero(_neighbours(history, hashes) < 0)
+            inner = at[at > 0]
+            inner = inner[hashes[inner - 1] != END_HASH]
+            other, word = np.concatenate((hashes[at], hashes[inner])), np.concatenate((hashes[at + 1], hashes[inner - 1]))
+            side = np.repeat([0, 1], (len(at), len(inner)))
+            order = np.lexsort((side, word, other))
+            other, word, side = other[order], word[order], side[order]
+            first = np.flatnonzero(np.concatenate(([True], (other[1:] != other[:-1]) | (word[1:] != word[:-1]) | (side[1:] != side[:-1])))[:len(order)])
+            yield pa.RecordBatch.from_arrays([longs(other[first]), longs(word[first]), longs(side[first]), longs(np.diff(np.append(first, len(order))))], ["other", "word", "side", "n"])
+    return run
+
+
+_CELLS = "word long, cells array<long>"
+
+
+def _packed(word: np.ndarray, place: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """A row for each run of equal words, with its cells."""
+    first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))[:len(word)])
+    cells = pa.ListArray.from_arrays(pa.array(np.append(first, len(word)), pa.int32()), longs(n << PLACE_BITS | place))
+    return pa.RecordBatch.from_arrays([longs(word[first]), cells], ["word", "cells"])
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a word, its counts added up; the rows of a word come one after the other. The last word of a batch waits for the next."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        words, at, place, n = _unpacked(batch)
+        word = np.repeat(words, np.diff(at))
+        if rest is not None:
+            word, place, n = (np.concatenate(x) for x in zip(rest, (word, place, n), strict=True))
+        key = np.cumsum(np.concatenate(([0], word[1:] != word[:-1]))) << PLACE_BITS | place
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        word, place, n = word[order][first], place[order][first], np.add.reduceat(n[order], first)
+        last = int(np.searchsorted(key[first], key[-1] >> PLACE_BITS << PLACE_BITS))
+        rest = word[last:], place[last:], n[last:]
+        if last:
+            yield _packed(word[:last], place[:last], n[:last])
+    if rest is not None:
+        yield _packed(*rest)
+
+
+def _beside(texts: DataFrame, history: Words, classes: int, name: str, everyone: DataFrame | None = None) -> DataFrame:
+    """(word, cells): a row per word with its counts beside each class; ``everyone`` has the classes (word, class) of neighbours that ``history`` does not hold."""
+    rows = texts.mapInArrow(_contexts(history, classes), _CELLS)
+    if everyone is not None:
+        found = texts.mapInArrow(_others(history), "other long, word long, side long, n long").join(everyone.select(F.col("word").alias("other"), "class"), "other")
+        place = F.col("class") + F.col("side") * (classes + 1)
+        rows = rows.unionByName(found.select("word", F.array(F.shiftleft("n", PLACE_BITS).bitwiseOR(place)).alias("cells")))
+    vectors = stored(rows.repartition("word").sortWithinPartitions("word").mapInArrow(_merged, _CELLS), name)
     release(texts.sparkSession)
     return vectors
 
@@ -301,10 +359,15 @@ def _classes(logs: np.ndarray):
 
 
 class Model:
-    """log10 tables of the class model, counts and classes of the KNOWN most frequent words, and totals."""
+    """log10 tables of the class model, counts and classes of the KNOWN most frequent words, classes of the HELD most frequent as neighbours, and totals.
+
+    ``outside``: other words have a class as neighbours too, column ``before`` of the lexicon; ``history`` gives -1 for them.
+    """
 
-    def __init__(self, history: Words, profile: np.ndarray, sizes: np.ndarray, words: np.ndarray, counts: np.ndarray, klass: np.ndarray, n: int, v: int):
-        self.history, self.n, self.v = history, n, v
+    def __init__(self, history: Words, profile: np.ndarray, sizes: np.ndarray, words: np.ndarray, counts: np.ndarray, klass: np.ndarray, n: int, v: int, outside: bool):
+        self.history, self.n, self.v, self.outside = history, n, v, outside
+        #: Words of no training text, as what stands before.
+        self.unmet = profile.shape[1]
         joint = profile[:len(profile) // 2]
         class_tokens = joint.sum(axis=0)
         share = (class_tokens + 1.0) / (class_tokens + 1.0).sum()
@@ -316,21 +379,24 @@ class Model:
 
 
 def learn(training: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of all texts of ``training``, and (word, n, class) of all their words."""
+    """The model of all texts of ``training``, and (word, n, class[, before]) of all their words."""
     texts = training.select("text")
     counts = cut(texts.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     classes = class_count(v)
-    # The KNOWN most frequent words, to whole steps of frequency: their number is found first, so only they travel.
+    # The most frequent words, to whole steps of frequency: their number is found first, so only they travel.
     step = F.floor(F.log2("n") * 8)
     steps = sorted(((r["step"], r["words"]) for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True)
-    least, held = None, 0
-    for at, size in steps:
-        held += size
-        if held > KNOWN:
-            break
-        least = at
-    often = step >= least if least is not None else F.lit(False)
+
+    def most_frequent(most: int) -> tuple[Column, int]:
+        least, taken = F.lit(False), 0
+        for at, size in steps:
+            if taken + size > most:
+                break
+            least, taken = step >= at, taken + size
+        return least, taken
+    (often, _), (held, holds) = most_frequent(KNOWN), most_frequent(HELD)
+    outside = holds < v
     frequent = counts.where(often).toArrow()
     words, times = frequent["word"].to_numpy().view(np.uint64), frequent["n"].to_numpy()
     words = words[np.lexsort((words.view(np.int64), -times))]
@@ -345,64 +411,77 @@ def learn(training: DataFrame) -> tuple[Model, DataFrame]:
     joint = one_hot.T @ table @ one_hot
     profile = np.concatenate((joint[:, :classes], joint[:classes].T))
     history = Words(np.append(head, END_HASH), np.append(klass[:len(head)], 0), classes)
-    vectors = _beside(texts, history, classes, Words(words, np.ones(len(words)), 0), "class-lm-frequent")
+    vectors = _beside(texts, history, classes, "class-lm-first")
     logs, _, _ = settle(vectors, profile)
-    found = vectors.mapInArrow(_classes(logs), "word long, n long, class long").toArrow()
-    history = Words(found["word"].to_numpy().view(np.uint64), found["class"].to_numpy(), classes)
+    first = vectors.mapInArrow(_classes(logs), "word long, n long, class long")
+    if outside:
+        first = stored(first, "class-lm-neighbours")
+    found = first.where(held).toArrow()
+    history = Words(found["word"].to_numpy().view(np.uint64), found["class"].to_numpy(), -1 if outside else classes)
     given = Words(history.words, history.values, -1)
-    vectors = _beside(texts, history, classes, None, "class-lm-words")
+    vectors = _beside(texts, history, classes, "class-lm-words", first if outside else None)
     logs, profile, sizes = settle(vectors, _refitted(vectors, classes, None, given)[0])
-    lexicon = stored(vectors.mapInArrow(_classes(logs), "word long, n long, class long"), "class-lm-lexicon")
+    lexicon = vectors.mapInArrow(_classes(logs), "word long, n long, class long")
+    if outside:
+        lexicon = lexicon.join(first.select("word", F.col("class").alias("before")), "word")
+    lexicon = stored(lexicon, "class-lm-lexicon")
     found = lexicon.where(often).toArrow()
-    return Model(history, profile, sizes, found["word"].to_numpy().view(np.uint64), found["n"].to_numpy(), found["class"].to_numpy(), n, v), lexicon
+    return Model(history, profile, sizes, found["word"].to_numpy().view(np.uint64), found["n"].to_numpy(), found["class"].to_numpy(), n, v, outside), lexicon
 
 
-_PARTS = "row long, doc_id long, word long, before long, times long, n_tokens long, n_known long, base double, model double"
+_PARTS = "row long, doc_id long, previous long, word long, before long, own_n long, own_class long, times long, n_tokens long, n_known long, base double, model double"
 _SUMS = "row long, doc_id long, n_tokens long, n_known long, base double, model double"
 
 
 def _score(model: Model):
-    """A row per text with what the model itself holds, and a row per text, other word and class before it, to be looked up."""
+    """A row per text with what the model itself holds, and a row per text, word and what stands before it, where the word (own_class -1) or
+    the class before it (before -1) is to be looked up. Keys that nothing is looked up by are dealt by row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scale = np.log10(model.n + model.v + 1.0)
         for batch in slices(batches):
             hashes, at = tokens(batch.column("text"))
             n = batch.num_rows
             c, k = model.known(hashes), model.klass(hashes)
-            before = np.concatenate(([0], model.history(hashes)[:-1]))
+            before = np.concatenate(([0], _neighbours(model.history, hashes)[:-1]))
             before[at[:-1]] = 0  # a text follows an end
+            previous = np.where(before < 0, np.concatenate(([END_HASH], hashes[:-1])), np.uint64(0))
             own = np.log10(c + 1.0)
             owner = np.repeat(np.arange(n), np.diff(at))
+            here = (k >= 0) & (before >= 0)
             base = np.bincount(owner, weights=own - scale, minlength=n)
-            score = np.bincount(owner, weights=np.where(k >= 0, own + model.transition[before, k] - model.room[k], 0.0), minlength=n)
+            score = np.bincount(owner, weights=np.where(here, own + model.transition[before, k] - model.room[k], 0.0), minlength=n)
             known = np.bincount(owner, weights=c > 0, minlength=n).astype(np.int64)
             row = batch.column("row").to_numpy()
-            rare = np.flatnonzero(k < 0)
-            order = rare[np.lexsort((before[rare], hashes[rare], owner[rare]))]
+            left = np.flatnonzero(~here)
+            order = left[np.lexsort((before[left], previous[left], hashes[left], owner[left]))]
             new = np.ones(len(order), dtype=bool)
-            new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (owner[order][1:] != owner[order][:-1]) | (before[order][1:] != before[order][:-1])
+            new[1:] = np.any([x[order][1:] != x[order][:-1] for x in (hashes, owner, before, previous)], axis=0)
             first = np.flatnonzero(new)
             times = np.diff(np.concatenate((first, [len(order)])))
             picked = order[first]
             m = len(picked)
+            dealt = mix(row.astype(np.uint64))
             none, zero, nought = longs(np.zeros(n, dtype=np.int64)), longs(np.zeros(m, dtype=np.int64)), pa.array(np.zeros(m))
-            whole = [longs(row), batch.column("doc_id"), longs(mix(row.astype(np.uint64))), none, none, longs(np.diff(at)), longs(known), pa.array(base), pa.array(score)]
-            part = [longs(row[owner[picked]]), pa.nulls(m, pa.int64()), longs(hashes[picked]), longs(before[picked]), longs(times), zero, zero, nought, nought]
+            whole = [longs(row), batch.column("doc_id"), longs(dealt), longs(dealt), none, none, longs(np.full(n, -1)), none, longs(np.diff(at)), longs(known), pa.array(base), pa.array(score)]
+            part = [longs(row[owner[picked]]), pa.nulls(m, pa.int64()), longs(np.where(before[picked] < 0, previous[picked], dealt[owner[picked]])),
+                    longs(np.where(k[picked] < 0, hashes[picked], dealt[owner[picked]])), longs(before[picked]), longs(c[picked]), longs(k[picked]), longs(times), zero, zero, nought, nought]
             names = [x.split()[0] for x in _PARTS.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.concat_arrays([a, b]) for a, b in zip(whole, part, strict=True)], names)
     return run
 
 
 def _look_up(model: Model):
-    """What the words outside the frequent ones add, by their count and class (null: unseen)."""
+    """What the parts add, by their word's count and class (null: unseen); a word that the model holds is counted already."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, k = (batch.column(x).fill_null(-1).to_numpy(zero_copy_only=False) for x in ("n", "class"))
-            before, times, known = (batch.column(x).to_numpy() for x in ("before", "times", "n_known"))
+            before, own_n, own_class, times, known = (batch.column(x).to_numpy() for x in ("before", "own_n", "own_class", "times", "n_known"))
+            n, k = np.where(own_class < 0, n, own_n), np.where(own_class < 0, k, own_class)
+            counted = np.where(own_class < 0, times, 0)
             own = np.log10(np.maximum(n, 0) + 1.0)
             score = np.where(k >= 0, own + model.transition[before, k] - model.room[k], model.unseen[before])
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("n_tokens"), longs(known + np.where(k >= 0, times, 0)),
-                                              pa.array(batch.column("base").to_numpy() + times * own), pa.array(batch.column("model").to_numpy() + times * score)],
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("n_tokens"), longs(known + np.where(k >= 0, counted, 0)),
+                                              pa.array(batch.column("base").to_numpy() + counted * own), pa.array(batch.column("model").to_numpy() + times * score)],
                                              [x.split()[0] for x in _SUMS.split(", ")])
     return run
 
@@ -410,7 +489,11 @@ def _look_up(model: Model):
 def score(docs: DataFrame, model: Model, lexicon: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score, perplexity) for every row of ``docs``."""
     parts = text_docs(docs).withColumn("row", F.monotonically_increasing_id()).mapInArrow(_score(model), _PARTS)
-    return (parts.join(lexicon, "word", "left").mapInArrow(_look_up(model), _SUMS).groupBy("row")
+    if model.outside:
+        met = lexicon.select(F.col("word").alias("previous"), F.col("before").alias("met"))
+        before = F.when(F.col("before") >= 0, F.col("before")).otherwise(F.coalesce("met", F.lit(model.unmet)))
+        parts = parts.join(met, "previous", "left").withColumn("before", before).drop("met")
+    return (parts.drop("previous").join(lexicon.select("word", "n", "class"), "word", "left").mapInArrow(_look_up(model), _SUMS).groupBy("row")
             .agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("model").alias("score"))
             .select("doc_id", "n_tokens", "n_known", "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity")))
 

@@ -97,6 +97,51 @@ def test_every_word_has_its_best_class_and_scores_are_those_of_plain_python(spar
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
 
 
+def test_rare_words_keep_their_own_class_as_what_stands_before(spark, monkeypatch):
+    monkeypatch.setattr(C, "KNOWN", 12)
+    monkeypatch.setattr(C, "HELD", 12)
+    kept, settle = [], C.settle
+    monkeypatch.setattr(C, "settle", lambda *x: kept.append(settle(*x)) or kept[-1])
+    rows = _docs()
+    model, lexicon = _learnt(spark, rows)
+    logs, classes = kept[-1][0], kept[-1][0].shape[1]
+    table = {int(np.array(r["word"]).view(np.uint64)): r for r in lexicon.collect()}
+    history = {w: r["before"] for w, r in table.items()}
+    assert model.outside and len(model.history.words) <= 12 < len(history) and len(set(history.values())) > 2
+    assert all(history[w] == h for w, h in zip(model.history.words.tolist(), model.history.values.tolist(), strict=True))
+    texts = {k: [_hash(w) for w in [*words_of(t), None]] for k, t in rows}
+    beside, joint, n = {}, Counter(), Counter()
+    for k, _ in rows:
+        if k is None or zlib.crc32(str(k).encode()) % 7 != 2:
+            for i, w in enumerate(texts[k]):
+                n[w] += 1
+                beside.setdefault(w, Counter())[history[texts[k][i - 1]] if i else 0] += 1
+                if i + 1 < len(texts[k]):
+                    beside[w][classes + 1 + history[texts[k][i + 1]]] += 1
+    klass = {w: 0 if w == int(C.END_HASH) else max(range(1, classes), key=lambda c: (round(sum(m * logs[p, c] for p, m in x.items()), 9), -c)) for w, x in beside.items()}
+    assert {w: (r["n"], r["class"]) for w, r in table.items()} == {w: (n[w], klass[w]) for w in n}
+    for w, x in beside.items():
+        for p, m in x.items():
+            joint[p, klass[w]] += m * (p <= classes)
+    sizes, held = Counter(klass.values()), Counter()
+    for (_, c), m in joint.items():
+        held[c] += m
+    move = lambda h, c: (joint[h, c] + C.KAPPA * (held[c] + 1) / (sum(held.values()) + classes)) / (sum(joint[h, d] for d in range(classes)) + C.KAPPA)
+    got = {r.doc_id: r.score for r in C.score(frame(spark, rows), model, lexicon).collect()}
+    for k, ws in texts.items():
+        want = 0.0
+        for i, w in enumerate(ws):
+            h = history.get(ws[i - 1], classes) if i else 0
+            want += math.log10(move(h, klass[w]) * (n[w] + 1) / (held[klass[w]] + sizes[klass[w]] + 1) if w in n else sum(move(h, c) / (held[c] + sizes[c] + 1) for c in range(classes)))
+        assert abs(got[k] - want) < 1e-6
+
+
+def test_counts_of_a_word_in_several_rows_and_batches_are_added_up():
+    one, two = C._packed(np.array([1, 1, 2], np.uint64), np.array([0, 3, 1]), np.array([5, 1, 2])), C._packed(np.array([2, 9], np.uint64), np.array([1, 0]), np.array([4, 7]))
+    got = [(w, [(c & 7, c >> C.PLACE_BITS) for c in cells]) for b in C._merged(iter([one, two])) for w, cells in zip(*(x.to_pylist() for x in b.columns), strict=True)]
+    assert got == [(1, [(0, 5), (3, 1)]), (2, [(1, 6)]), (9, [(0, 7)])] and not list(C._merged(iter([])))
+
+
 def test_rounds_never_end_below_where_they_began(spark, monkeypatch):
     seen, refitted = [], C._refitted
     monkeypatch.setattr(C, "_refitted", lambda *x: seen.append(refitted(*x)) or seen[-1])
