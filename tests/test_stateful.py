@@ -4,12 +4,14 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from pricelens.operators.merge_table import MergeTable
 from pricelens.session import scratch_path
 from pricelens.streaming import stream as S
 from pricelens.streaming.progress import Tally, counts_by_value, observed
+from pricelens.streaming.stateful import LastPrice
 
 SCHEMA = "tick_id long, ts timestamp_ntz, platform string, product_id long, price double"
 T0 = dt.datetime(2024, 1, 1)
@@ -67,6 +69,67 @@ def test_drops_ignore_incomplete_rows(spark):
     assert [(r.tick_id, r.before) for r in spark.read.parquet(_run(spark, src, ckpt, sink)).collect()] == [(5, 10.0)]
 
 
+class _Handle:
+    """A state store in memory that counts the calls."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, [], 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.calls += 1
+        self.value = None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+    def listTimers(self):
+        self.calls += 1
+        return iter(list(self.timers))
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+class _Fired:
+    def __init__(self, at):
+        self.at = at
+
+    def getExpiryTimeInMs(self):
+        return self.at
+
+
+def test_a_key_costs_two_calls_a_batch_and_has_one_timer():
+    handle, drops = _Handle(), LastPrice(0.2, 1000)
+    drops.init(handle)
+    found = []
+    for k, price in enumerate([10.0, 7.0, 7.0, 5.0]):
+        rows = [Row(tick_id=k, ts=None, product_id=1, platform="A", price=price, us=k * 400_000)]
+        found += list(drops.handleInputRows((1, "A"), iter(rows), None))
+    assert [(r.tick_id, r.before) for r in found] == [(1, 10.0), (3, 7.0)]
+    assert handle.calls <= 2 * 4 + 1 and handle.timers == [1000]
+    handle.timers.remove(1000)
+    assert list(drops.handleExpiredTimer((1, "A"), None, _Fired(1000))) == [] and handle.value is not None and handle.timers == [2200]
+    handle.timers.remove(2200)
+    assert list(drops.handleExpiredTimer((1, "A"), None, _Fired(2200))) == [] and handle.value is None and not handle.timers
+
+
 def test_tally_counts_more_batches_than_a_query_remembers(spark):
     rows = _ticks(120, seed=2)
     src, tally = scratch_path(spark, "tally-src"), Tally()
