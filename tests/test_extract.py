@@ -152,3 +152,33 @@ def test_progress_observation(spark):
     observed, obs = with_progress(df)
     observed.collect()
     assert obs.get["rows"] == 3 and obs.get["Zepto"] == 2
+
+
+def test_plain_tags_give_the_tree_that_the_general_parser_gives(monkeypatch):
+    import random
+    import re
+    from pricelens.operators import pagetree
+    bits = ['<div class="a b">', "</div>", "<DIV CLASS=x>", '<a href="/pd/1?x=1&amp;y=2" title=\'q\'>', "</a>", "<br>", "<br/>", '<script id="s">{"a":"</div>"}', "</script>",
+            '<textarea n="x">', "</textarea>", "<title>", "</title>", "₹ 12", " a &nbsp;b", '<p  class="n"\n id="z" >', "</p >", "<!-- c -->", '<span class="">', "</span>", '<div a="1"b="2">',
+            '<div a="1" a="2">', "< b", "&", '<div a="1>2">', '<titles a="1">', "</titles>", '<img src="x">', '<div a="b" c>', "</>", "<plaintext>", "<x-y>"]
+    rnd = random.Random(3)
+    pages = ["".join(rnd.choice(bits) for _ in range(rnd.randint(1, 20))) for _ in range(2000)]
+
+    def tree(html):
+        page = Page(html)
+        return page.pieces, [(e.tag, e.attrs, e.parent.number, e.end, e.first_text, e.last_text, e.children, page.only_text(e)) for e in page.elements]
+    plain = [tree(h) for h in pages]
+    for name in ("_PLAIN_START", "_PLAIN_END"):
+        monkeypatch.setattr(pagetree, name, re.compile("(?!)"))
+    assert plain == [tree(h) for h in pages]
+
+
+def test_output_chunks_are_cut_by_offers_not_by_pages():
+    import pandas as pd
+    page = '<div><a class="q" title="Green Tea {}">Green</a><div><div>₹149</div></div></div>'
+    rows = [(k, k, "Flipkart", "400001", page.format(k) if k % 50 else None) for k in range(3000)]
+    pages = pd.DataFrame(rows, columns=["page_id", "search_id", "platform", "pincode", "html"])
+    out = list(E._read_pages(None)(iter([pages[:1000], pages[1000:]])))
+    assert [len(f) for f in out] == [1000, 2000]
+    found = pd.concat(out)
+    assert list(found.page_id) == list(range(3000)) and list(found.error[:2])[0] == "no offers found" and list(found.name)[1] == "Green Tea 1"
