@@ -144,3 +144,31 @@ def test_a_stored_table_leaves_no_shuffle_files(spark):
     while not files() <= before and time.time() < end:
         time.sleep(0.2)
     assert files() <= before
+
+
+def test_few_asked_searches_do_not_make_prices_be_shuffled(spark):
+    at = F.lit("2024-05-01 10:00:00").cast("timestamp_ntz")
+    searches = spark.range(4000).select(F.col("id"), F.concat(F.lit("q"), F.col("id")).alias("query"), F.lit("400001").alias("pincode"), F.lit(1).cast("long").alias("result_count"), at.alias("searched_at"))
+    prices = S.price_rows(spark.range(4000).select(F.col("id").alias("search_id"), F.lit("Zepto").alias("platform"), F.rand(1).alias("price")), at)
+    root = scratch_path(spark, "store-few")
+    S.write_store(prices, searches, root)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4000")  # the searches are larger, the one asked for is not
+    try:
+        for latest_only in (False, True):
+            found = S.latest_prices(*S.read_store(spark, root), "q7", "400001", latest_only=latest_only)
+            assert [r.search_id for r in found.collect()] == [7]
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_integrity_counts_nulls_and_repeats_in_one_join(spark):
+    prices = spark.createDataFrame([(1,), (1,), (3,), (None,), (4,)], "search_id long")
+    searches = spark.createDataFrame([(1,), (1,), (2,), (None,), (4,)], "id long")
+    report = S.integrity_report(prices, searches)
+    assert {r["check"]: r.n for r in report.collect()} == {"prices_without_search": 2, "searches_without_prices": 2, "searches_with_prices": 3}
+    assert report._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    none = S.integrity_report(prices.limit(0), searches.limit(0)).collect()
+    assert len(none) == 3 and all(r.n == 0 for r in none)
