@@ -1,5 +1,6 @@
 """Store defaults and queries (K5, J1, T3, T4, A3), topic round trip and offsets."""
 
+import os
 import re
 import time
 
@@ -10,7 +11,7 @@ from pricelens.operators import store as S
 from pricelens.operators.metrics import stored
 from pricelens.operators.sequence import number_within
 from pricelens.plans import domain
-from pricelens.session import scratch_path
+from pricelens.session import scratch_path, workspace
 
 from conftest import SF_SMALL
 
@@ -172,3 +173,63 @@ def test_integrity_counts_nulls_and_repeats_in_one_join(spark):
     assert report._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
     none = S.integrity_report(prices.limit(0), searches.limit(0)).collect()
     assert len(none) == 3 and all(r.n == 0 for r in none)
+
+
+def _files(spark, name):
+    folder = workspace(spark).removeprefix("file:").rstrip("/")
+    return [f for f in os.listdir(folder) if f.startswith(name)]
+
+
+def _shuffle_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().toString()
+    return set(re.findall(r"shuffle_\d+_\d+_\d+\.data", found))
+
+
+def _gone(spark, before):
+    end = time.time() + 20  # files go in the background
+    while not _shuffle_files(spark) <= before and time.time() < end:
+        time.sleep(0.2)
+    return _shuffle_files(spark) <= before
+
+
+def test_a_published_topic_leaves_only_its_messages(spark):
+    rows = spark.createDataFrame([("p", f"n{i % 7}", None if i % 5 else "x", i // 2) for i in range(200)], "platform string, product_name string, size_label string, i long")
+    order = ["i", "platform", "product_name", "size_label"]
+    want = {(r.partition, r.offset, bytes(r.value)) for r in B.encode(rows, partitions=5, order=order).collect()}
+    path, numbered, shuffled = scratch_path(spark, "published"), _files(spark, "numbered"), _shuffle_files(spark)
+    B.publish(rows, path, partitions=5, order=order)
+    assert {(r.partition, r.offset, bytes(r.value)) for r in B.read_topic(spark, path).collect()} == want
+    assert _files(spark, "numbered") == numbered and _gone(spark, shuffled)
+    snap = B.end_offsets(B.read_topic(spark, path)).localCheckpoint()
+    B.publish(rows.where("i < 9"), path, partitions=5, order=order, start=snap.select("partition", F.col("end_offset").alias("start_offset")))
+    per = B.flow_metadata(B.read_topic(spark, path)).collect()
+    assert sum(r.messages for r in per) == 218 and all(r.offset_before == 0 and r.offset_after == r.messages for r in per)
+
+
+def test_rows_are_reconciled_by_digests(spark):
+    sql = """SELECT CAST(a AS DOUBLE) AS a, s, CAST(t AS TIMESTAMP_NTZ) AS t, l FROM VALUES
+        {} AS v(a, s, t, l)"""
+    same = "('0.0', 'x', '2024-01-01 00:00:00.000001', array(1)), ('0.0', 'x', '2024-01-01 00:00:00.000001', array(1)), ('NaN', NULL, NULL, NULL)"
+    produced = spark.sql(sql.format(same + ", ('1.0', '1:a', NULL, array(2)), ('2.0', '', NULL, NULL), ('3.0', 'x', '2024-01-01 00:00:00.000002', NULL)"))
+    consumed = spark.sql(sql.format("('-0.0', 'x', '2024-01-01 00:00:00.000001', array(1)), ('NaN', NULL, NULL, NULL), ('1.0', '1:a', NULL, array(3)),"
+                                    " ('2.0', NULL, NULL, NULL), ('3.0', 'x', '2024-01-01 00:00:00.000003', NULL)"))
+    report = B.reconcile(produced, consumed)
+    assert {r.item: r.n for r in report.collect()} == {"delivered": 2, "produced_not_consumed": 4, "consumed_not_produced": 3}
+    plain = [c for c in produced.columns if c != "l"]
+    plan = B.reconcile(produced.select(plain), consumed.select(plain))._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "Exchange hashpartitioning(_digest" in plan
+
+
+def test_messages_are_not_shuffled_to_meet_a_snapshot(spark):
+    msgs = spark.range(1000).select((F.col("id") % 3).cast("int").alias("partition"), F.lit("t").alias("topic"), "id", F.col("id").alias("offset"))
+    path = scratch_path(spark, "snapshot-messages")
+    msgs.write.parquet(path)
+    snap = spark.createDataFrame([("t", 0, 500), ("t", 1, 900)], "topic string, partition int, end_offset long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        read = B.bounded_read(spark.read.parquet(path), snap, B.end_offsets(msgs))
+        assert "Exchange hashpartitioning(topic" not in read._jdf.queryExecution().executedPlan().toString().split("HashAggregate")[0]
+        assert read.count() == sum(k >= {0: 500, 1: 900, 2: 0}[k % 3] for k in range(1000))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
